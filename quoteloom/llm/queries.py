@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, secrets, sharding
 
-QUERIES = {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+QUERIES = {
+    "op3_secret_scans": secrets.op3_secret_scans,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_sharding": sharding.op7_sharding,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+}
 ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
