@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, secrets, sharding
+from . import bpe, exact_dedup, mtree, packing, secrets, sharding
 
 QUERIES = {
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_top_k": mtree.op10_top_k,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_top_k": mtree.ORACLE_SQL}
