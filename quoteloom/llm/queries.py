@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mtree, packing, secrets, sharding
+from . import bpe, exact_dedup, mtree, near_dedup, packing, secrets, sharding
 
 QUERIES = {
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_top_k": mtree.op10_top_k,
 }
