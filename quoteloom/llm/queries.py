@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mtree, near_dedup, packing, secrets, sharding
+from . import bpe, exact_dedup, mtree, near_dedup, packing, secrets, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_packing": packing.op6_packing,
