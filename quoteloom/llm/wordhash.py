@@ -54,6 +54,7 @@ class Words:
         up, down = powers(_BASE, len(raw) + 1)
         total = np.zeros(len(raw) + 1, U64)
         np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+        self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -61,6 +62,11 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """A hash of each word's first ``size`` bytes (of all, if it has fewer)."""
+        stop = np.minimum(self.start + size, self.end)
+        return mix((self._total[stop] - self._total[self.start]) * self._down[self.start])
+
     def windows(self, width: int) -> np.ndarray:
         """A hash for the ``width`` words from each word on; entries that leave their text are meaningless."""
         n = len(self.hash)
