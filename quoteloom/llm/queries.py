@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mtree, near_dedup, packing, quality, secrets, sharding, substring_dedup
+from . import bpe, exact_dedup, html_extract, mtree, near_dedup, packing, quality, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
