@@ -25,11 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         context.setCheckpointDir("/tmp/checkpoints")
     out = df.checkpoint(eager=True)
-    gc.collect()
-    context._jvm.System.gc()
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what nothing refers to any more: Spark then deletes its shuffle and checkpoint files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

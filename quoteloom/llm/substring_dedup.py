@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, small_batches, texts_of
+from .common import arrow_map, cut, release, small_batches, texts_of
 from .wordhash import Words, blocks
 
 WINDOW = 50
@@ -118,8 +118,15 @@ def _ranges(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[new], at[new], at[last] - at[new] + 1
 
 
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def _bucket_sort(packed: DataFrame, window: int) -> DataFrame:
-    """``id, at, count, hash, mini``: ranges of marked windows (hash null) and, of salted buckets, the windows not marked there."""
+    """``id, places, count, hash, mini``: ranges of marked windows (hash null) and, of salted buckets, the windows not marked there.
+
+    A window that a document holds many times is one row with all its places.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []  # windows of the bucket part that may go on in the next batch
@@ -136,13 +143,16 @@ def _bucket_sort(packed: DataFrame, window: int) -> DataFrame:
             if lost.any():
                 d, a, n = _ranges(doc[lost], at[lost])
                 nothing = pa.nulls(len(d), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), nothing, nothing], names)
-            open_ = ~lost & (salts > 1)
-            if open_.any():
-                ones = pa.array(np.ones(int(open_.sum()), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[open_]), pa.array(at[open_].astype(np.int32)), ones, pa.array(hashed[open_].view(np.int64)), pa.array(mini[open_])], names)
-
-        names = ["id", "at", "count", "hash", "mini"]
+                yield pa.RecordBatch.from_arrays([pa.array(d), _lists(a, np.arange(len(a) + 1)), pa.array(n.astype(np.int32)), nothing, nothing], names)
+            open_ = np.flatnonzero(~lost & (salts > 1))
+            if len(open_):
+                key = np.stack([mini[open_], salt[open_], hashed[open_].view(np.int64), doc[open_]])
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0).any(0))))
+                head = open_[new]
+                ones = pa.array(np.ones(len(head), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[head]), _lists(at[open_], np.append(new, len(open_))), ones, pa.array(hashed[head].view(np.int64)), pa.array(mini[head])], names)
+
+        names = ["id", "places", "count", "hash", "mini"]
         for batch in batches:
             for part in small_batches(batch, "words", 2 << 20):
                 texts = texts_of(part, "words")
@@ -160,24 +170,35 @@ def _bucket_sort(packed: DataFrame, window: int) -> DataFrame:
         if waiting:
             yield from settle([np.concatenate(c) for c in zip(*waiting, strict=True)])
 
-    return arrow_map(packed, "id bigint, at int, count int, hash bigint, mini bigint", step)
+    return arrow_map(packed, "id bigint, places array<int>, count int, hash bigint, mini bigint", step)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``id, at, count``: ranges of windows of ``docs`` (``id bigint, text``) that a smaller id has too; cut."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _shared_runs(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """``_id, runs``: each document's super-k-mers whose minimiser some other document has too; cut."""
     table = cut(_runs_table(docs.where("id is not null and text is not null"), "bigint", window, gram))
     shared = table.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low < high")
     shared = cut(shared.select("mini", F.ceil(F.col("size") / hot).cast("int").alias("salts")))
     kept = table.join(shared, "mini").select("id", F.struct("mini", "at", "count", "salts").alias("run"))
-    lists = kept.groupBy("id").agg(F.collect_list("run").alias("runs")).withColumnRenamed("id", "_id")
+    return cut(kept.groupBy("id").agg(F.collect_list("run").alias("runs")).withColumnRenamed("id", "_id"))
+
+
+def _marked(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """The bucket sort's result; cut."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = _shared_runs(docs, window, gram, hot)
+    release(docs.sparkSession)  # the runs' table and its shuffles, before texts move
     packed = _packed(docs.join(lists, docs["id"] == lists["_id"]).select("id", "text", "runs"), "bigint", window)
     salted = packed.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    marked = cut(_bucket_sort(salted.repartition(partitions, "mini", "salt").sortWithinPartitions("mini", "salt"), window))
+    return cut(_bucket_sort(salted.repartition(partitions, "mini", "salt").sortWithinPartitions("mini", "salt"), window))
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``id, at, count``: ranges of windows of ``docs`` (``id bigint, text``) that a smaller id has too."""
+    marked = _marked(docs, window, gram, hot)
+    release(docs.sparkSession)
     winners = marked.where(F.col("hash").isNotNull())
-    beaten = winners.withColumn("low", F.min("id").over(W.partitionBy("mini", "hash"))).where("id > low").select("id", "at", "count")
-    return marked.where(F.col("hash").isNull()).select("id", "at", "count").unionByName(beaten)
+    beaten = winners.withColumn("low", F.min("id").over(W.partitionBy("mini", "hash"))).where("id > low").select("id", F.explode("places").alias("at"), "count")
+    return marked.where(F.col("hash").isNull()).select("id", F.explode("places").alias("at"), "count").unionByName(beaten)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
