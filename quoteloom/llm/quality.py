@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, small_batches, texts_of
 from .wordhash import U64, Words, blocks, mix
 
-SAMPLE = 10_000
+SAMPLE = 8_000
 SLOTS = 1 << 18
 GRADES = 3
 PREFIXES = (4, 5)
@@ -125,8 +125,13 @@ def fit(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, slots: int = SL
     """
     if len(np.unique(grade)) < 2:
         return Model(np.zeros(slots, np.float32), np.full(grades - 1, -40.0))
-    rows = np.repeat(np.arange(len(grade)), np.diff(bounds))
-    used, column = np.unique(slot, return_inverse=True)
+    rows = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(bounds))
+    # slots that a few rows have, or whose rows' grades are like all others', only cost memory
+    seen = np.bincount(slot, minlength=slots)
+    apart = np.bincount(slot, (grade - grade.mean())[rows], minlength=slots) / np.sqrt(np.maximum(seen, 1) * grade.var())
+    useful = (seen >= 3) & (np.abs(apart) >= 1)
+    used = np.flatnonzero(useful)
+    rows, column = rows[useful[slot]], np.cumsum(useful, dtype=np.int32)[slot[useful[slot]]] - 1
     weight = 1 / np.sqrt(np.maximum(np.bincount(grade, minlength=grades), 1))[grade]  # rare grades count more
     weight /= weight.sum()
     share = np.clip(np.cumsum(np.bincount(grade, weight, minlength=grades))[:-1], 1e-4, 1 - 1e-4)
