@@ -1,7 +1,7 @@
 """The catalogue of queries and of their DuckDB SQL."""
 
-from . import compare, entities, store, texts
+from . import compare, entities, sources, store, streams, texts
 
-_MODULES = (compare, entities, store, texts)
+_MODULES = (compare, entities, store, texts, sources, streams)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
