@@ -109,22 +109,19 @@ def create_teams(teams: DataFrame, names: DataFrame) -> DataFrame:
     return numbered.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("number")).cast("long").alias("team_id"), "sport", "display_name", F.lit(True).alias("is_active"), F.lit(None).cast("long").alias("merged_into"))
 
 
-def follow_merges(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """U-16: ``team_id, final_id``, following ``merged_into`` by pointer doubling (2**rounds steps); cycles end at their smallest id."""
-    now = edges.select("team_id", F.coalesce("merged_into", "team_id").alias("final_id"))
-    spark = edges.sparkSession
-    seen = now.select("team_id", "final_id", F.col("final_id").alias("low"))
+def follow_merges(edges: DataFrame) -> DataFrame:
+    """U-16: ``team_id, final_id``, following ``merged_into`` by pointer doubling; a chain that runs into a cycle ends at the cycle's smallest id.
+
+    The number of rounds is the logarithm of the number of teams.
+    """
+    seen = checkpointed(edges.select("team_id", F.coalesce("merged_into", "team_id").alias("final_id"), F.col("merged_into").isNull().alias("root")).withColumn("low", F.col("final_id")))
+    rounds = max(1, seen.count().bit_length())
     for _ in range(rounds):
         step = seen.select(F.col("team_id").alias("n_id"), F.col("final_id").alias("n_final"), F.col("low").alias("n_low"))
-        new = seen.join(step, F.col("final_id") == F.col("n_id"), "left").select("team_id", F.coalesce("n_final", "final_id").alias("final_id"), F.least("low", F.coalesce("n_low", "low")).alias("low"))
-        new = checkpointed(new)
-        moved = new.alias("x").join(seen.alias("y"), "team_id").where("x.final_id <> y.final_id or x.low <> y.low").limit(1).count()
-        seen = new
-        if not moved:
-            break
-    del spark
-    self_end = seen.select(F.col("team_id").alias("e_id"), F.col("final_id").alias("e_final"))
-    return seen.join(self_end, F.col("final_id") == F.col("e_id"), "left").select("team_id", F.when(F.coalesce("e_final", "final_id") == F.col("final_id"), F.col("final_id")).otherwise(F.col("low")).alias("final_id"))
+        seen = checkpointed(seen.join(step, F.col("final_id") == F.col("n_id"), "left").select("team_id", F.coalesce("n_final", "final_id").alias("final_id"), "root", F.least("low", F.coalesce("n_low", "low")).alias("low")))
+    ends = seen.select(F.col("team_id").alias("e_id"), F.col("root").alias("e_root"), F.col("low").alias("e_low"))
+    ended = F.coalesce("e_root", F.lit(True))
+    return seen.join(ends, F.col("final_id") == F.col("e_id"), "left").select("team_id", F.when(ended, F.col("final_id")).otherwise(F.col("e_low")).alias("final_id"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -23,17 +23,18 @@ from ..operators.store import SnapshotStore
 def normalize(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The passes in their order: normalised quotes, unresolved props, review cases.
 
-    Quotes without a start leave first; new teams of repeated matchups are
+    What several later steps read is cut, so that no pass runs twice.  Quotes
+    without a start leave first; new teams of repeated matchups are
     known to every later pass.
     """
     timed, missing = resolve.split_missing_start(raw)
-    new = registry.create_teams(teams, resolve.autocreate_names(timed, teams, aliases))
-    every = teams.unionByName(new)
+    new = registry.checkpointed(registry.create_teams(teams, resolve.autocreate_names(timed, teams, aliases)))
+    every = registry.checkpointed(teams.unionByName(new))
     fresh = new.select((F.col("team_id") + 10_000_000).alias("alias_id"), "sport", registry.identity_text(F.col("display_name")).alias("normalized_alias"), F.lit("").alias("bookmaker_id"), F.lit("canonical").alias("source"), "team_id")
-    spelled = aliases.unionByName(fresh.select(*aliases.columns))
+    spelled = registry.checkpointed(aliases.unionByName(fresh.select(*aliases.columns)))
     placed, lost = resolve.resolve_matchups(timed, every, spelled)
-    resolved = registry.with_teams(placed, every, spelled).withColumn("voted_league", canonical_league_id(F.col("league_id")))
-    votes = resolve.event_votes(resolved)
+    resolved = registry.checkpointed(registry.with_teams(placed, every, spelled).withColumn("voted_league", canonical_league_id(F.col("league_id"))))
+    votes = registry.checkpointed(resolve.event_votes(resolved))
     quotes = players.resolve_players(resolve.normalized_odds(resolved, votes))
     unresolved = lost.select("seq", "bookmaker_id", "sport", "market_type", "player_name", "raw_team_name", "reason_code", "candidate_count").unionByName(missing.select("seq", "bookmaker_id", "sport", "market_type", "player_name", "raw_team_name", "reason_code", "candidate_count"))
     return quotes, unresolved, resolve.review_cases(resolved.where(~resolve.shared_platform()), votes, every, spelled)
