@@ -128,8 +128,12 @@ def fit(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, slots: int = SL
     rows = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(bounds))
     # slots that a few rows have, or whose rows' grades are like all others', only cost memory
     seen = np.bincount(slot, minlength=slots)
-    apart = np.bincount(slot, (grade - grade.mean())[rows], minlength=slots) / np.sqrt(np.maximum(seen, 1) * grade.var())
-    useful = (seen >= 3) & (np.abs(apart) >= 1)
+    apart = np.zeros(slots)
+    for k in range(grades - 1):
+        above = grade > k
+        share = min(max(above.mean(), 1e-6), 1 - 1e-6)
+        apart = np.maximum(apart, np.abs(np.bincount(slot, (above - share)[rows], minlength=slots)) / np.sqrt(np.maximum(seen, 1) * share * (1 - share)))
+    useful = (seen >= 3) & (apart >= 1.5)
     used = np.flatnonzero(useful)
     rows, column = rows[useful[slot]], np.cumsum(useful, dtype=np.int32)[slot[useful[slot]]] - 1
     weight = 1 / np.sqrt(np.maximum(np.bincount(grade, minlength=grades), 1))[grade]  # rare grades count more
