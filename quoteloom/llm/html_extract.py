@@ -71,8 +71,9 @@ class _Kind:
         if tag not in ("html", "body", "article", "main"):
             for name in parts:
                 for i, p in enumerate(name):
-                    if (p in BOILERPLATE_WORDS or p in HEADER_WORDS and tag not in INLINE and not re.fullmatch("h[1-6]", tag)) and not (i and name[i - 1] in BEFORE_HARMLESS):
-                        last = i == len(name) - 1
+                    header = p in HEADER_WORDS and tag not in INLINE and not re.fullmatch("h[1-6]", tag)
+                    if (p in BOILERPLATE_WORDS or header) and not (i and name[i - 1] in BEFORE_HARMLESS):
+                        last = i == len(name) - 1 and not header  # an entry-header holds the title, an entry-footer nothing of the text
                         bad |= last or not flat & CONTENT_WORDS
         self.bad = bad
         self.bonus = (1.5 if tag == "article" or found.get("itemprop") == "articleBody" else 1.25 if tag == "main" or found.get("role") == "main" else 1.0) * (1.25 if flat & CONTENT_WORDS else 1.0)

@@ -148,6 +148,13 @@ class Forest:
         return True
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
 def linked_pairs(sets: list[np.ndarray], marks: np.ndarray, split: int, percent: int, margin: float = 0.14) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among ``sets``; with ``split``, only links between those before it and those from it on.
 
@@ -158,15 +165,6 @@ def linked_pairs(sets: list[np.ndarray], marks: np.ndarray, split: int, percent:
     sizes = np.array([len(s) for s in sets])
     forest = Forest(n)
     least = max(0.0, percent / 100 - margin) * marks.shape[1]
-    python: dict[int, set] = {}
-
-    def as_set(i: int) -> set:
-        if i not in python:
-            if len(python) > 512:
-                python.clear()
-            python[i] = set(sets[i].tolist())
-        return python[i]
-
     first, last = (0, n) if not split else (split, n)
     for i in range(split or n):
         others = np.arange(max(first, i + 1), last)
@@ -178,9 +176,8 @@ def linked_pairs(sets: list[np.ndarray], marks: np.ndarray, split: int, percent:
         for j in others[order[np.argsort(-agree[order], kind="stable")]].tolist():
             if forest.find(i) == forest.find(j):
                 continue
-            a, b = as_set(i), as_set(j)
-            common = len(a & b) if len(a) < len(b) else len(b & a)
-            if 100 * common >= percent * (len(a) + len(b) - common) and forest.join(i, j):
+            common = shared(sets[i], sets[j])
+            if 100 * common >= percent * (int(sizes[i] + sizes[j]) - common) and forest.join(i, j):
                 yield i, j
 
 
