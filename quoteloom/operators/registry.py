@@ -47,13 +47,13 @@ def with_teams(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFram
 def resolve_leagues(labels: DataFrame, leagues: DataFrame, aliases: DataFrame) -> DataFrame:
     """J-11: ``bookmaker_id, label, league_id, league_name``; own alias, then global alias, then canonical id, then a slug.
 
-    ``leagues(id, name)``; ``aliases(bookmaker_id, alias, league_id)``, '' being global.
+    ``leagues(id, name)``; ``aliases(bookmaker_id, alias, league_id)``, '' being global; an alias is in normal form, an id has underscores.
     """
-    wanted = labels.select("bookmaker_id", "label").distinct().withColumn("key", canonical_league_id(F.col("label"))).withColumn("scope", scope_key(F.col("bookmaker_id")))
+    wanted = labels.select("bookmaker_id", "label").distinct().withColumn("spoken", identity_text(F.col("label"))).withColumn("key", canonical_league_id(F.col("label"))).withColumn("scope", scope_key(F.col("bookmaker_id")))
     own = aliases.where("bookmaker_id <> ''").select(F.col("bookmaker_id").alias("o_scope"), F.col("alias").alias("o_key"), F.col("league_id").alias("own_id"))
     every = aliases.where("bookmaker_id = ''").select(F.col("alias").alias("g_key"), F.col("league_id").alias("global_id"))
     direct = leagues.select(F.col("id").alias("d_key"))
-    found = wanted.join(own, (F.col("scope") == F.col("o_scope")) & (F.col("key") == F.col("o_key")), "left").join(every, F.col("key") == F.col("g_key"), "left").join(direct, F.col("key") == F.col("d_key"), "left")
+    found = wanted.join(own, (F.col("scope") == F.col("o_scope")) & (F.col("spoken") == F.col("o_key")), "left").join(every, F.col("spoken") == F.col("g_key"), "left").join(direct, F.col("key") == F.col("d_key"), "left")
     found = found.withColumn("league_id", F.coalesce("own_id", "global_id", "d_key", "key"))
     names = leagues.select(F.col("id").alias("n_id"), F.col("name").alias("n_name"))
     named = found.join(names, F.col("league_id") == F.col("n_id"), "left")

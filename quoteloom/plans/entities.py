@@ -25,7 +25,7 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def league_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = domain.raw_offers(spark, sf_dir).select("bookmaker_id", F.col("league_id").alias("label"))
     leagues = spark.sql("select * from values ('league_0', 'First League'), ('aba', 'ABA League') as t(id, name)")
-    known = spark.sql("select * from values ('', 'league_1', 'aba'), ('b2', 'league_0', 'aba') as t(bookmaker_id, alias, league_id)")
+    known = spark.sql("select * from values ('', 'league 1', 'aba'), ('b2', 'league 0', 'aba') as t(bookmaker_id, alias, league_id)")
     return registry.resolve_leagues(labels, leagues, known)
 
 
@@ -173,9 +173,9 @@ QUERIES = {
 ORACLES = {
     "alias_resolution": f"with {RESOLVED_SQL} select bookmaker_id, label, team_id, team_name, source from res",
     "league_resolution": f"""with {RAW_SQL},
-leagues as (select * from (values ('league_0', 'First League'), ('aba', 'ABA League')) t(id, name)), known as (select * from (values ('', 'league_1', 'aba'), ('b2', 'league_0', 'aba')) t(bookmaker_id, alias, league_id)),
+leagues as (select * from (values ('league_0', 'First League'), ('aba', 'ABA League')) t(id, name)), known as (select * from (values ('', 'league 1', 'aba'), ('b2', 'league 0', 'aba')) t(bookmaker_id, alias, league_id)),
 l as (select distinct bookmaker_id, league_id as label, replace({IDENTITY.format(x='league_id')}, ' ', '_') as k from raw),
-f as (select l.*, coalesce(o.league_id, g.league_id, d.id, l.k) as league_id from l left join known o on o.bookmaker_id = l.bookmaker_id and o.alias = l.k and o.bookmaker_id <> '' left join known g on g.bookmaker_id = '' and g.alias = l.k left join leagues d on d.id = l.k)
+f as (select l.*, coalesce(o.league_id, g.league_id, d.id, l.k) as league_id from l left join known o on o.bookmaker_id = l.bookmaker_id and o.alias = replace(l.k, '_', ' ') and o.bookmaker_id <> '' left join known g on g.bookmaker_id = '' and g.alias = replace(l.k, '_', ' ') left join leagues d on d.id = l.k)
 select f.bookmaker_id, f.label, f.league_id, coalesce(n.name, array_to_string(list_transform(list_filter(string_split_regex(f.league_id, '[_-]'), lambda w: w <> ''), lambda w: case when length(w) <= 4 and regexp_matches(w, '^[[:alpha:]]+$') then upper(w) else upper(w[1:1]) || lower(w[2:]) end), ' ')) as league_name
 from f left join leagues n on n.id = f.league_id""",
     "alias_prefix_conflict": f"""with {REGISTRY_SQL}, r as (select 'basketball' as sport, regexp_replace(normalized_alias, '[0-9]+', '#', 'g') as normalized_alias, bookmaker_id, team_id from aliases)
