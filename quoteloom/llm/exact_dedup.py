@@ -58,10 +58,11 @@ def _verified(marked: DataFrame, support: float) -> DataFrame:
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; of rows repeated with the same id and text, one stays."""
-    verdict = exact_dedup(df, id_col, text_col, support).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    kept = cut(exact_dedup(df, id_col, text_col, support).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")))
+    repeated = kept.groupBy("_id", "_digest").count().where("count > 1").limit(1).count()  # else texts need no second shuffle
     numbered = df.withColumn("_digest_in", F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
-    stay = numbered.join(verdict, numbered[id_col].eqNullSafe(verdict["_id"]) & (numbered["_digest_in"] == verdict["_digest"]), "left_semi")
-    return stay.dropDuplicates([id_col, "_digest_in"]).select(*df.columns)
+    stay = numbered.join(kept, numbered[id_col].eqNullSafe(kept["_id"]) & (numbered["_digest_in"] == kept["_digest"]), "left_semi")
+    return (stay.dropDuplicates([id_col, "_digest_in"]) if repeated else stay).select(*df.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
