@@ -137,7 +137,7 @@ def group_league_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stakes(mode: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = _found(spark, sf_dir).where("odds_a > 0 and odds_b > 0 and profit_margin is not null and (gap > 30 or gap = 0)")
+        d = _found(spark, sf_dir).where("odds_a > 0 and odds_b > 0 and profit_margin is not null")
         planned = d.withColumn("plan", stakes.stake_plan(mode, F.lit(20.0))).where(F.col("plan").isNotNull())
         p = F.col("plan")
         return planned.select("match_id", "bookmaker_a_id", "bookmaker_b_id", "threshold_a", "threshold_b", "odds_a", "odds_b", *(F.round(p[c], 3).alias(c) for c in ("stake_a", "stake_b", "profit_a", "profit_b", "worst_case", "middle_profit")), F.array_join(p["labels"], "|").alias("labels"))

@@ -65,3 +65,25 @@ def test_stake_plans(spark):
     no_middle = d.withColumn("gap", F.lit(0.0))
     assert no_middle.select(stakes.stake_plan("aggressive-middle", F.lit(20.0)).alias("p")).first().p is None
     assert no_middle.select(stakes.stake_plan("balanced", F.lit(20.0)).alias("p")).first().p.labels == ["Same-threshold arb"]
+
+
+def test_stake_queries_plan_every_discrepancy(spark):
+    from quoteloom.plans import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    d = [r for r in QUERIES["find_discrepancies"](spark, sf_dir).collect() if r.odds_a > 0 and r.odds_b > 0 and r.profit_margin is not None]
+    want = {}
+    for r in d:
+        middle = r.gap > 0 and r.middle_profit_margin is not None
+        want.setdefault("stake_balanced", []).append(r) if not middle or r.profit_margin >= 0 else None
+        want.setdefault("stake_aggressive", []).append(r) if middle else None
+        want.setdefault("stake_conservative", []).append(r) if middle and r.profit_margin >= 0 else None
+    for name in ("stake_balanced", "stake_aggressive", "stake_conservative"):
+        key = lambda r: (r.match_id, r.bookmaker_a_id, r.bookmaker_b_id, r.threshold_a, r.threshold_b, r.odds_a, r.odds_b)
+        got = QUERIES[name](spark, sf_dir).collect()
+        assert sorted(map(key, got)) == sorted(map(key, want[name]))
+        assert any(0 < r.threshold_b - r.threshold_a <= 30 for r in got)
+        for r in got:
+            if name == "stake_balanced":
+                assert abs(r.stake_a - 20 * r.odds_b / (r.odds_a + r.odds_b)) < 2e-3 and abs(r.stake_a + r.stake_b - 20) < 2e-3
+            assert abs(r.profit_a - (r.stake_a * r.odds_a - 20)) < 0.11 and abs(r.profit_b - (r.stake_b * r.odds_b - 20)) < 0.11 and r.worst_case == min(r.profit_a, r.profit_b)
