@@ -98,7 +98,7 @@ def auto_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def team_candidates_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = domain.raw_offers(spark, sf_dir).select("sport", F.col("home_team").alias("label")).where("label like 'Club%'")
+    labels = domain.raw_offers(spark, sf_dir).select("sport", F.col("home_team").alias("label"))
     found = registry.search_candidates(labels, domain.teams(spark, sf_dir), domain.aliases(spark, sf_dir))
     return found.select("label", F.explode("candidates").alias("c")).select("label", "c.place", "c.team_id", "c.team_name", "c.score", "c.matched_alias")
 

@@ -49,8 +49,8 @@ def per_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cycle_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = domain.table(spark, sf_dir, "orders")
-    tasks = o.where("o_custkey % 10 < 9").select(F.concat(F.lit("b"), (F.col("o_custkey") % 10).cast("string")).alias("bookmaker_id"), F.col("o_totalprice").cast("long").alias("duration_ms"), (F.col("o_orderkey") % 50).alias("raw_items"), (F.col("o_orderstatus") == "P").alias("failed"))
-    return store.cycle_benchmark(tasks, store.source_counts(domain.odds(spark, sf_dir).where("bookmaker_id <> 'b3'")))
+    tasks = o.select(F.concat(F.lit("b"), (F.col("o_custkey") % 10).cast("string")).alias("bookmaker_id"), F.col("o_totalprice").cast("long").alias("duration_ms"), (F.col("o_orderkey") % 50).alias("raw_items"), (F.col("o_orderstatus") == "P").alias("failed"))
+    return store.cycle_benchmark(tasks, store.source_counts(domain.odds(spark, sf_dir)))
 
 
 def matches_snapshot_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def highlight_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-18: quotes of a match marked where a discrepancy ends at them."""
     from ..operators.analyze import find_discrepancies
 
-    odds = domain.odds(spark, sf_dir).where("match_id in ('m3', 'm4', 'm5')")
+    odds = domain.odds(spark, sf_dir)
     d = find_discrepancies(odds, 40.0)
     ends = d.select("match_id", F.explode(F.array(F.struct(F.col("bookmaker_a_id").alias("b"), F.col("threshold_a").alias("t")), F.struct(F.col("bookmaker_b_id").alias("b"), F.col("threshold_b").alias("t")))).alias("e")).select(F.col("match_id").alias("m"), "e.b", "e.t").distinct()
     joined = odds.join(ends, (F.col("match_id") == F.col("m")) & (F.col("bookmaker_id") == F.col("b")) & (F.col("threshold") == F.col("t")), "left")

@@ -73,3 +73,14 @@ def test_empty_input(spark):
     none = raw(spark, ("a", "Alfa", "Beta", None, "t")).limit(0)
     done, lost = resolve.resolve_matchups(none, teams, aliases)
     assert done.count() == lost.count() == resolve.autocreate_names(none, teams, aliases).count() == 0
+
+
+def test_candidates_are_searched_for_every_label(spark):
+    from quoteloom.plans import QUERIES
+    from quoteloom.sources import domain
+
+    sf_dir = "/root/testdata/sf0.001"
+    labels = {r.home_team for r in domain.raw_offers(spark, sf_dir).select("home_team").distinct().collect()}
+    got = QUERIES["team_candidates_top3"](spark, sf_dir).collect()
+    assert {r.label for r in got} == labels and not all(x.startswith("Club") for x in labels)
+    assert max(r.place for r in got) == 3

@@ -33,3 +33,23 @@ def test_snapshot_store_publishes_and_hides(spark, tmp_path):
     s.publish("2026-01-01T00:00:00", odds=df)
     s.publish("2026-01-01T00:10:00", odds=df.limit(0))
     assert s.current("odds").count() == 0 and s.history().count() == 1
+
+
+def test_store_queries_take_every_row(spark):
+    from collections import Counter
+
+    from quoteloom.plans import QUERIES
+    from quoteloom.sources import domain
+
+    sf_dir = "/root/testdata/sf0.001"
+    odds = domain.odds(spark, sf_dir).collect()
+    cycle = {r.bookmaker_id: r for r in QUERIES["cycle_benchmark"](spark, sf_dir).collect()}
+    orders = Counter(f"b{r.o_custkey % 10}" for r in domain.table(spark, sf_dir, "orders").collect())
+    assert {b: r.leagues_attempted for b, r in cycle.items() if r.leagues_attempted} == dict(orders)
+    assert {b: r.odds_count for b, r in cycle.items() if r.odds_count} == dict(Counter(r.bookmaker_id for r in odds))
+    ends = set()
+    for r in QUERIES["find_discrepancies"](spark, sf_dir).collect():
+        if r.gap == 0 or r.threshold_b - r.threshold_a >= 40:
+            ends |= {(r.match_id, r.bookmaker_a_id, r.threshold_a), (r.match_id, r.bookmaker_b_id, r.threshold_b)}
+    want = Counter((r.match_id, (r.match_id, r.bookmaker_id, r.threshold) in ends) for r in odds)
+    assert {(r.match_id, r.highlighted): r.n for r in QUERIES["highlight_offers"](spark, sf_dir).collect()} == dict(want)
