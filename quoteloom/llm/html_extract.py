@@ -2,13 +2,16 @@
 
 1. Every page is parsed once by itself: its text blocks are found, each below a
    chain of containers, and the containers are scored by the text that stands in
-   them outside links and boilerplate.  The best one casts the page's vote: its
-   generalised tag-class path (digits and order of classes don't matter).
+   them outside links and boilerplate.  From the best one the search climbs to
+   the article or main element around it, or, where there is none, to the
+   innermost container with all unlinked text of the page; that one casts the
+   page's vote: its generalised tag-class path (digits and order of classes
+   don't matter).
 2. Spark counts the votes by host and path, partially before the shuffle, and
    the most frequent path of each host wins.
-3. Every page is parsed again and extracted below the container with its host's
-   winning path; a page that has no such container, or in which it holds far
-   less text than the page's own best one, falls back on the latter.
+3. Every page is parsed again and extracted below all containers with its host's
+   winning path; a page that has none, or in which they hold less than
+   ``NEARLY_ALL`` of the text below the page's own best one, falls back on the latter.
 
 Hosts' winners are one short row per host.  They are broadcast only if there
 are at most ``BROADCAST_HOSTS`` of them; beyond that they are joined by host,
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, small_batches
 
 BROADCAST_HOSTS = 20_000
+NEARLY_ALL = 0.95
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -57,7 +61,7 @@ BEFORE_HARMLESS = frozenset("has no with without".split())
 
 
 class _Kind:
-    __slots__ = ("bad", "bonus", "label")
+    __slots__ = ("bad", "bonus", "label", "main")
 
     def __init__(self, tag: str, attrs: str):
         found: dict[str, str] = {}
@@ -78,6 +82,7 @@ class _Kind:
         self.bad = bad
         self.bonus = (1.5 if tag == "article" or found.get("itemprop") == "articleBody" else 1.25 if tag == "main" or found.get("role") == "main" else 1.0) * (1.25 if flat & CONTENT_WORDS else 1.0)
         classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
+        self.main = tag == "main" or found.get("role") == "main"
         self.label = ".".join([tag, *classes[:3]])
 
 
@@ -95,15 +100,21 @@ def _kind(tag: str, attrs: str) -> _Kind:
 
 
 class Page:
-    """Containers (``parent, path, bonus, article``) and text blocks (``container, text, linked characters``) of a page, boilerplate left out."""
+    """Containers (``parent, path, bonus, article, main``) and text blocks (``container, text, linked characters``) of a page, boilerplate left out."""
 
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
         self.bonus: list[float] = [1.0]
         self.article: list[bool] = [False]
+        self.main: list[bool] = [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
+        self.unlinked = [0] * len(self.parent)  # characters in the whole subtree
+        for k, text, linked in self.blocks:
+            self.unlinked[k] += max(0, len(text) - 2 * linked)
+        for k in range(len(self.parent) - 1, 0, -1):
+            self.unlinked[self.parent[k]] += self.unlinked[k]
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = []  # tag, container, whether it starts boilerplate
@@ -195,6 +206,7 @@ class Page:
                 self.path.append(f"{self.path[node]}>{kind.label}" if len(self.path[node]) < 2000 else self.path[node])
                 self.bonus.append(kind.bonus)
                 self.article.append(tag == "article")
+                self.main.append(kind.main)
                 node = len(self.parent) - 1
                 stack.append((tag, node, False))
                 articles += tag == "article"
@@ -215,27 +227,37 @@ class Page:
         return out
 
     def best(self) -> int:
-        """The container with the highest score, or the outermost article around it."""
+        """The outermost article around the container with the highest score, else the main element around it, else the innermost container with all unlinked text."""
         points = self.scores()
-        k = best = max(range(len(points)), key=points.__getitem__)
+        k = top = max(range(len(points)), key=points.__getitem__)
+        article = main = -1
         while k >= 0:
             if self.article[k]:
-                best = k
+                article = k
+            if self.main[k]:
+                main = k
+            if self.unlinked[k] > self.unlinked[top]:
+                top = k
             k = self.parent[k]
-        return best
+        return article if article >= 0 else main if main >= 0 else top
 
-    def weight(self, top: int) -> int:
-        return sum(max(0, len(text) - linked) for _, text, linked in self._below(top))
+    def alike(self, path: str) -> list[int]:
+        """The containers with a path that hold more than links."""
+        return [k for k, other in enumerate(self.path) if other == path and self.unlinked[k]]
 
-    def _below(self, top: int) -> Iterator[tuple[int, str, int]]:
+    def weight(self, tops: list[int]) -> int:
+        return sum(max(0, len(text) - linked) for _, text, linked in self._below(tops))
+
+    def _below(self, tops: list[int]) -> Iterator[tuple[int, str, int]]:
         inside = [False] * len(self.parent)
-        inside[top] = True
-        for k in range(top + 1, len(inside)):
-            inside[k] = inside[self.parent[k]]
+        for k in tops:
+            inside[k] = True
+        for k in range(1, len(inside)):
+            inside[k] |= inside[self.parent[k]]
         return (b for b in self.blocks if inside[b[0]])
 
-    def text(self, top: int) -> str:
-        return "\n".join(text for _, text, _ in self._below(top))
+    def text(self, tops: list[int]) -> str:
+        return "\n".join(text for _, text, _ in self._below(tops))
 
 
 def vote(source: str) -> str | None:
@@ -245,18 +267,16 @@ def vote(source: str) -> str | None:
 
 
 def extract(source: str, winner: str | None) -> str:
-    """The main text: below the container with the winning path, or below the page's own best one."""
+    """The main text: below the containers with the winning path, or below the page's own best one and those alike."""
     page = Page(source)
     if not page.blocks:
         return ""
-    own = page.best()
-    if winner and page.path[own] != winner:
-        points = page.scores()
-        same = [k for k, path in enumerate(page.path) if path == winner]
-        if same:
-            there = max(same, key=points.__getitem__)
-            if 3 * page.weight(there) >= page.weight(own):
-                own = there
+    best = page.best()
+    own = page.alike(page.path[best]) or [best]
+    if winner and page.path[best] != winner:
+        there = page.alike(winner)
+        if there and page.weight(there) >= NEARLY_ALL * page.weight(own):
+            own = there
     return page.text(own)
 
 

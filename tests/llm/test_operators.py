@@ -264,6 +264,22 @@ def test_html_extract(spark):
 # ---- bpe
 
 
+def test_html_extract_keeps_sibling_sections():
+    long, short = "long " * 400, "short " * 83
+    want = f"{long.strip()}\n{short.strip()}"
+    for page in (
+        f"<body><div class=content><section><p>{long}</p></section><section><p>{short}</p></section></div></body>",
+        f"<body><div><div class=a><div><p>{long}</div></div><div class=b><div><p>{short}</div></div></div></body>",
+        f"<body><article><p>{long}</article><article><p>{short}</article></body>",
+    ):
+        path = html_extract.vote(page)
+        for winner in (path, f"{path}>section", ">body>div.content>section", ">body>div>div.a", None):
+            assert html_extract.extract(page, winner) == want
+    assert html_extract.extract(f"<main><p>{long}</main><div><p>{short}</div>", None) == long.strip()
+    linked = f"<body><div><a href=/>{'link ' * 20}</a></div><div><p>{long}</div></body>"
+    assert html_extract.extract(linked, html_extract.vote(linked)) == long.strip()
+
+
 def test_bpe_is_exact_for_every_leaf_size():
     enc, rng = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(4)
     for leaf in (1, 3, 17, 200):
