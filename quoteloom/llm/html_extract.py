@@ -36,16 +36,20 @@ NEARLY_ALL = 0.95
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|math|textarea|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-zA-Z/!?][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # How elements and class names are read.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark math nobr picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset(
+    "annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext "
+    "mtr munder munderover none semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article body center div html main section td".split())
 BOILERPLATE_TAGS = frozenset("aside button datalist dialog footer form head menu nav select".split())
@@ -57,33 +61,44 @@ BOILERPLATE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: Elements whose ids are anchors and say nothing of what they hold; a section's does so inside an article or content only.
+ANCHORED = INLINE | frozenset("h1 h2 h3 h4 h5 h6 p".split())
 BEFORE_HARMLESS = frozenset("has no with without".split())
 
 
 class _Kind:
-    __slots__ = ("bad", "bonus", "label", "main")
+    __slots__ = ("bad", "bonus", "content", "label", "main", "named")
 
     def __init__(self, tag: str, attrs: str):
         found: dict[str, str] = {}
         for m in _ATTR.finditer(attrs):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-        names = f"{found.get('class', '')} {found.get('id', '')}".split()
-        parts = [[p.lower() for p in _PART.findall(name)] for name in names]
-        flat = {p for name in parts for p in name}
+        classes, anchors = ([[p.lower() for p in _PART.findall(name)] for name in found.get(x, "").split()] for x in ("class", "id"))
+        flat = {p for name in classes + anchors for p in name}
         bad = tag in BOILERPLATE_TAGS or found.get("role", "").lower() in BOILERPLATE_ROLES
         bad |= "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-        if tag not in ("html", "body", "article", "main"):
-            for name in parts:
+
+        def boilerplate(names: list[list[str]]) -> bool:
+            for name in names:
                 for i, p in enumerate(name):
                     header = p in HEADER_WORDS and tag not in INLINE and not re.fullmatch("h[1-6]", tag)
                     if (p in BOILERPLATE_WORDS or header) and not (i and name[i - 1] in BEFORE_HARMLESS):
                         last = i == len(name) - 1 and not header  # an entry-header holds the title, an entry-footer nothing of the text
-                        bad |= last or not flat & CONTENT_WORDS
+                        if last or not flat & CONTENT_WORDS:
+                            return True
+            return False
+
+        whole = tag in ("html", "body", "article", "main")
+        bad |= not whole and boilerplate(classes)
+        self.named = not whole and tag not in ANCHORED and boilerplate(anchors)  # by its id alone
+        if self.named and tag != "section" and ["section"] not in classes:
+            bad, self.named = True, False
         self.bad = bad
+        self.content = tag not in ("html", "body") and (tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody" or bool(flat & CONTENT_WORDS))
         self.bonus = (1.5 if tag == "article" or found.get("itemprop") == "articleBody" else 1.25 if tag == "main" or found.get("role") == "main" else 1.0) * (1.25 if flat & CONTENT_WORDS else 1.0)
-        classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
+        labels = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
         self.main = tag == "main" or found.get("role") == "main"
-        self.label = ".".join([tag, *classes[:3]])
+        self.label = ".".join([tag, *labels[:3]])
 
 
 _kinds: dict[tuple[str, str], _Kind] = {}
@@ -117,8 +132,8 @@ class Page:
             self.unlinked[self.parent[k]] += self.unlinked[k]
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, whether it starts boilerplate
-        node, bad, articles = 0, 0, 0
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether it starts boilerplate, whether it says that it holds the content
+        node, bad, articles, contents = 0, 0, 0, 0
         words: list[str] = []
         linked, in_link, breaks = 0, False, 0
         at = 0
@@ -133,13 +148,14 @@ class Page:
             linked = breaks = 0
 
         def pop(k: int) -> None:
-            nonlocal node, bad, articles
+            nonlocal node, bad, articles, contents
             close()
-            for tag, _, was_bad in stack[k:]:
+            for tag, _, was_bad, was_content in stack[k:]:
                 bad -= was_bad
+                contents -= was_content
                 articles -= tag == "article"
             del stack[k:]
-            node = next((n for _, n, _ in reversed(stack) if n >= 0), 0)
+            node = next((n for _, n, _, _ in reversed(stack) if n >= 0), 0)
 
         for m in _TOKEN.finditer(source):
             if not bad and m.start() > at:
@@ -154,6 +170,9 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in MATH:
+                words.append(" ")
+                continue
             if m["end"]:
                 if tag == "a":
                     in_link = False
@@ -180,12 +199,12 @@ class Page:
             if tag == "a":
                 in_link = True
             kind = _kind(tag, attrs.rstrip("/")) if attrs or tag in CONTAINERS or tag in BOILERPLATE_TAGS else None
-            is_bad = kind is not None and kind.bad or tag == "header" and not articles
+            is_bad = kind is not None and (kind.bad or kind.named and not contents) or tag == "header" and not articles
             if tag in INLINE:
                 if is_bad and not attrs.endswith("/") or stack and any(s[0] == tag for s in stack):
                     if is_bad and not bad:
                         close()
-                    stack.append((tag, -1, is_bad))
+                    stack.append((tag, -1, is_bad, False))
                     bad += is_bad
                 continue
             if stack and stack[-1][0] == "p":
@@ -208,10 +227,11 @@ class Page:
                 self.article.append(tag == "article")
                 self.main.append(kind.main)
                 node = len(self.parent) - 1
-                stack.append((tag, node, False))
+                stack.append((tag, node, False, kind.content))
                 articles += tag == "article"
+                contents += kind.content
             elif is_bad or tag in CONTAINERS or bad:
-                stack.append((tag, -1, is_bad))
+                stack.append((tag, -1, is_bad, False))
                 bad += is_bad
         if not bad and at < len(source):
             words.append(source[at:])

@@ -280,6 +280,23 @@ def test_html_extract_keeps_sibling_sections():
     assert html_extract.extract(linked, html_extract.vote(linked)) == long.strip()
 
 
+def test_html_extract_reads_marks_by_whole_attribute_names():
+    text = lambda page: html_extract.extract(page, None)
+    body = "<p>" + "long " * 100 + "</p>"
+    long = ("long " * 100).strip()
+    for attrs in ("data-title='Hidden gems'", 'data-id="comments"', "data-class=sidebar", "title='a role=navigation b'", 'aria-label="hidden" data-style="display:none"'):
+        assert text(f"<body><article {attrs}>{body}</article></body>") == long
+        assert text(f"<body><article>{body}<p {attrs}>More.</p></article></body>") == f"{long}\nMore."
+    for attrs in ("hidden", "HIDDEN=''", "class='x sidebar'", "style='display: none'", "role=navigation", "data-x=1 id=comments"):
+        assert text(f"<body><article>{body}<div {attrs}>More.</div></article></body>") == long
+    for part in ("<section id='discussion'><p>More.</section>", "<h2 id='related-work'>More.</h2>", "<h2 id='search'>More.</h2>", "<h2><span id=Search>More.</span></h2>", "<section id=privacy>More.</section>"):
+        assert text(f"<body><article>{body}{part}</article></body>") == f"{long}\nMore."
+        assert text(f"<body><div class=content>{body}{part}</div></body>") == f"{long}\nMore."
+    assert text(f"<body><div><div>{body}</div><section id=comments><p>More.</section></div></body>") == long
+    math = "Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> be."
+    assert text(f"<body><article>{body}<p>{math}</p></article></body>") == f"{long}\nLet x = 1 2 be."
+
+
 def test_bpe_is_exact_for_every_leaf_size():
     enc, rng = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(4)
     for leaf in (1, 3, 17, 200):
