@@ -2,7 +2,8 @@
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes) and
    a SuperMinHash signature.  Documents with the same set form a *class*; from
-   here on each class is represented by its smallest id.
+   here on each class is one node with a number of its own, and one row's text
+   stands for it.
 2. Signatures are cut into bands; representatives with an equal band meet in a
    bucket.  A bucket only says "each member may be linked with the smallest",
    so it gives a star and never its pairs; the stars' connected components are
@@ -105,8 +106,8 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
 
 
 def profiles(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """``id, n, high, low, keys, signature``: set size, set digest, band keys and one byte of each signature place."""
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, n bigint, high bigint, low bigint, keys array<bigint>, signature binary"
+    """``id, t, n, high, low, keys, signature``: hash of the text, set size, set digest, band keys and one byte of each signature place."""
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, t bigint, n bigint, high bigint, low bigint, keys array<bigint>, signature binary"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +121,11 @@ def profiles(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                     keys.append(band_keys(signature, bands, rows).view(np.int64) if len(found) else None)
                     marks.append(signature.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                    ["id", "n", "high", "low", "keys", "signature"],
+                    [part.column("id"), part.column("t"), *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    ["id", "t", "n", "high", "low", "keys", "signature"],
                 )
 
-    return arrow_map(df.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text"), schema, step)
+    return arrow_map(df.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text", f"xxhash64(cast(`{text_col}` as string)) as t"), schema, step)
 
 
 class Forest:
@@ -189,33 +190,36 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id.  Defined cases: null and empty texts and texts without words have an
     empty set, are linked with nothing and are their own component; equal sets
     are always linked; a null id is never linked and gets a null component;
-    rows that repeat an id are the same node; an empty table gives no rows;
-    other columns are ignored.
+    rows that repeat an id with other texts are judged by their own texts; an
+    empty table gives no rows; other columns are ignored.
     """
     found = cut(profiles(df, id_col, text_col, bands, rows, width))
     usable = found.where("n > 0 and id is not null")
-    classes = cut(usable.groupBy("high", "low", "n").agg(F.min("id").alias("rep")))
-    reps = found.join(classes.select("rep").distinct(), found["id"] == F.col("rep"), "left_semi").where("n > 0").dropDuplicates(["id"])
-    stars = cut(_stars(reps))
-    clusters = components(stars, "id", "low_id")
-    edges = _verified(df, id_col, text_col, found, clusters, percent, width, block_bytes, block_docs)
-    joined = components(edges, "a", "b")
-    named = classes.join(joined, classes["rep"] == joined["node"], "left").select("high", "low", "n", F.coalesce("component", "rep").alias("component_id"))
+    one = usable.groupBy("high", "low", "n").agg(F.min(F.struct("id", "t")).alias("rep"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+    classes = cut(one.select("high", "low", "n", "rep.id", "rep.t", "keys", "signature", F.monotonically_increasing_id().alias("node")))
+    stars = cut(_stars(classes))
+    clusters = components(stars, "node", "low_node").withColumnRenamed("node", "c_node")
+    edges = _verified(df, id_col, text_col, classes, clusters, percent, width, block_bytes, block_docs)
+    joined = components(edges, "a", "b").withColumnRenamed("node", "c_node")
+    members = cut(joined.join(classes.select("node", "id"), F.col("c_node") == F.col("node")).select("node", "id", "component"))
+    names = members.groupBy("component").agg(F.min("id").alias("name"))
+    linked = members.join(names, "component").select(F.col("node").alias("c_node"), "name")
+    named = classes.join(linked, F.col("node") == F.col("c_node"), "left").select("high", "low", "n", F.coalesce("name", "id").alias("component_id"))
     out = found.join(cut(named), ["high", "low", "n"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"))
 
 
-def _stars(reps: DataFrame) -> DataFrame:
-    """``id, low_id``: each member of a bucket with the bucket's smallest member, without repeats."""
-    members = cut(reps.select("id", F.explode("keys").alias("key")))
-    lows = cut(members.groupBy("key").agg(F.min("id").alias("low_id"), F.count("*").alias("size")).where("size > 1").select("key", "low_id"))
-    return members.join(lows, "key").where("id > low_id").select("id", "low_id").distinct()
+def _stars(classes: DataFrame) -> DataFrame:
+    """``node, low_node``: each member of a bucket with the bucket's smallest member, without repeats."""
+    members = cut(classes.select("node", F.explode("keys").alias("key")))
+    lows = cut(members.groupBy("key").agg(F.min("node").alias("low_node"), F.count("*").alias("size")).where("size > 1").select("key", "low_node"))
+    return members.join(lows, "key").where("node > low_node").select("node", "low_node").distinct()
 
 
-def _verified(df: DataFrame, id_col: str, text_col: str, found: DataFrame, clusters: DataFrame, percent: int, width: int, block_bytes: int, block_docs: int) -> DataFrame:
-    """``a, b``: a spanning forest of the confirmed links inside the clusters."""
+def _verified(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, clusters: DataFrame, percent: int, width: int, block_bytes: int, block_docs: int) -> DataFrame:
+    """``a, b``: a spanning forest of the confirmed links inside the clusters, between nodes."""
     spark = df.sparkSession
-    member = found.join(clusters, found["id"] == clusters["node"]).dropDuplicates(["id"]).select("id", "n", "component", "signature")
+    member = classes.join(clusters, F.col("node") == F.col("c_node")).select("node", "id", "t", "n", "component", "signature")
     # blocks: by set size in steps of a cluster's bytes; the histogram has a fixed number of size bands per cluster
     band = F.floor(F.log(F.col("n").cast("double")) * 8).cast("int")
     member = cut(member.withColumn("band", band))
@@ -226,9 +230,9 @@ def _verified(df: DataFrame, id_col: str, text_col: str, found: DataFrame, clust
     fits = (F.col("all_bytes") <= block_bytes) & (F.col("all_docs") <= block_docs)
     planned = cut(bands.join(whole, "component").select("component", "band", fits.alias("fits"), parts.alias("parts"), "low_n", "high_n"))
     placed = member.join(planned.select("component", "band", "fits", "parts"), ["component", "band"]).select(
-        "id", "component", "signature",
+        "node", "id", "t", "component", "signature",
         F.when(F.col("fits"), F.lit(-1)).otherwise(F.col("band")).alias("band"),
-        F.when(F.col("fits"), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"),
+        F.when(F.col("fits"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("part"),
     )
     large = planned.where("not fits").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left, right = large.alias("l"), large.alias("r")
@@ -238,9 +242,9 @@ def _verified(df: DataFrame, id_col: str, text_col: str, found: DataFrame, clust
     two = meet.where("band1 <> band2 or part1 <> part2").select("component", F.col("band2").alias("band"), F.col("part2").alias("part"), F.concat_ws(".", "band1", "part1", "band2", "part2").alias("task"), F.lit(1).alias("side"))
     small = planned.where("fits").select("component", F.lit(-1).alias("band"), F.lit(0).alias("part"), F.lit("").alias("task"), F.lit(0).alias("side")).distinct()
     tasks = cut(small.unionByName(one).unionByName(two))
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, component bigint, signature binary, band int, part int, elements binary"
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    with_text = placed.join(texts, placed["id"] == texts["_id"]).select("id", F.col("component").cast("long").alias("component"), "signature", "band", "part", "text")
+    schema = "id bigint, component bigint, signature binary, band int, part int, elements binary"
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).withColumn("_t", F.xxhash64("text"))
+    with_text = placed.join(texts, (placed["id"] == texts["_id"]) & (placed["t"] == texts["_t"])).select(F.col("node").alias("id"), "component", "signature", "band", "part", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +256,7 @@ def _verified(df: DataFrame, id_col: str, text_col: str, found: DataFrame, clust
     dealt = sets.join(tasks, ["component", "band", "part"]).select("component", "task", "side", "id", "signature", "elements")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(partitions, "component", "task").sortWithinPartitions("component", "task", "side", "id")
-    id_type = df.schema[id_col].dataType.simpleString()
-    return arrow_map(dealt, f"a {id_type}, b {id_type}", _task_links(percent))
+    return arrow_map(dealt, "a bigint, b bigint", _task_links(percent))
 
 
 def _task_links(percent: int):
@@ -293,9 +296,19 @@ def _task_links(percent: int):
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose id names their component, with all columns; rows without an id stay."""
-    gone = near_components(df, id_col, text_col, percent).where("id <> component_id").select(F.col("id").alias("_id")).distinct()
-    return df.join(gone, df[id_col] == gone["_id"], "left_anti")
+    """One row of ``df`` of each component, with all columns: that with the smallest id, a row without an id only where none has one.
+
+    Rows are numbered first, and the numbers written out, so that null and
+    repeated ids are rows of their own.
+    """
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    near = near_components(rows, "_row", text_col, percent).where("n_shingles > 0").select(F.col("id").alias("_r"), "component_id")
+    groups = near.join(near.groupBy("component_id").count().where("count > 1").select("component_id"), "component_id")
+    ids = rows.select("_row", F.col(id_col).alias("_id"))
+    members = cut(groups.join(ids, F.col("_r") == F.col("_row")).select("_row", "component_id", F.struct(F.col("_id").isNull().alias("none"), "_id", "_row").alias("rank")))
+    first = members.groupBy("component_id").agg(F.min("rank")["_row"].alias("first"))
+    gone = members.join(first, "component_id").where("_row <> first").select(F.col("_row").alias("_r"))
+    return rows.join(gone, F.col("_row") == F.col("_r"), "left_anti").drop("_row")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

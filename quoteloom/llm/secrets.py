@@ -192,11 +192,12 @@ def digest(spans: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``df`` with every span replaced by ``mark``; overlapping spans are replaced as one.  Rows and columns stay.
 
-    Ids must be unique and not null (true of documents that went through
-    exact dedup); rows without an id are returned as they are.
+    Whole rows go through the scan beside their spans, so each is redacted by
+    its own ones, whatever its id is.
     """
-    spans = secret_spans(df, id_col, text_col, fdr).where(F.size("spans") > 0).select(F.col("id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
-    text = F.col(text_col)
+    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    found = secret_spans(rows, "row", "text", fdr)
+    text = F.col("id")[text_col]
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -204,9 +205,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = df.join(spans, df[id_col] == spans["_id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(*df.columns)
+    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    redacted = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return found.select(*((redacted if c == text_col else F.col("id")[c]).alias(c) for c in df.columns))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

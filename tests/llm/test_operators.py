@@ -177,6 +177,20 @@ def test_near_dedup_edges(spark, empty, docs):
     assert near_dedup.drop_near_copies(docs).columns == docs.columns
 
 
+def test_near_dedup_takes_rows_that_share_an_id_or_have_none_one_by_one(spark):
+    rng = random.Random(4)
+    words = vocabulary(rng, 300)
+    one, two, three = ([rng.choice(words) for _ in range(120)] for _ in range(3))
+    near_copy = lambda t, k: " ".join([*t[:k], "edit", *t[k + 1 :]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, near_copy(one, 30)), (8, near_copy(two, 50)), (None, near_copy(two, 90)), (None, " ".join(three)), (None, near_copy(three, 20)), (9, None), (None, ""), (4, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.component_id) for r in near_dedup.near_components(df).where("id in (5, 7, 8)").collect()}
+    assert got == {(5, 5), (7, 5), (8, 5)}
+    kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_copies(df).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], rows[1], kept[[t for _, t in kept].index(next(t for i, t in kept if i is None and t))], rows[7], rows[8], rows[9]]))
+    assert sum(i is None and bool(t) for i, t in kept) == 1
+
+
 def test_super_min_hash_estimates_and_is_a_permutation_walk():
     rng = np.random.default_rng(2)
     errors = []
@@ -233,6 +247,15 @@ def test_secret_spans(spark):
     assert clean[0].startswith("é中😀 [SECRET]") and secrets.redact(df).columns == df.columns
 
 
+def test_redact_takes_rows_that_share_an_id_or_have_none_one_by_one(spark):
+    key = "secret = abcDEF123456"
+    rows = [(None, f"a {key}", "x"), (None, f"longer text {key} end", None), (1, f"{key} b", "y"), (1, "clean words that are long enough", "z"), (1, f"clean {key}", "z"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = secrets.redact(df)
+    want = [(i, t and t.replace(key, "[SECRET]"), s) for i, t, s in rows]
+    assert out.columns == df.columns and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
 def test_random_strings_pass_and_words_do_not(spark):
     rng = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
