@@ -1,21 +1,24 @@
-"""Vectorised word and word-window hashing shared by the text operators.
+"""Word and word-window hashing shared by the text operators.
 
 A *word* is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D`` of the
-UTF-8 text, which is what ``bytes.split()`` yields.  All hashes are 64 bit,
-deterministic on every machine, and computed with numpy over a whole block of
-texts at once; there is no per-word Python code.
+UTF-8 text, which is what ``bytes.split()`` yields.  A word's hash is 64 bits of
+its BLAKE2b digest (kept for the words seen lately), so no rule of arithmetic
+makes two words collide; hashes of windows are folded from these by a mixing
+function, with numpy over a whole block of texts at once.  All hashes are the
+same on every machine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD1B54A32D192ED03 | 1
-_MASK = (1 << 64) - 1
+_FOLD = U64(0xD1B54A32D192ED03)
+#: Words whose hashes are kept; beyond that the store starts afresh, which costs time and nothing else.
+KEPT_WORDS = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,19 +30,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class _Hashes(dict):
+    """Word -> hash, filled on demand."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i below n (cached, regrown by doubling)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64))
-    return have[0][:n], have[1][:n]
+
+_hashes = _Hashes()
+
+
+def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two neighbouring spans from theirs; order matters."""
+    return mix(a * _FOLD + b)
 
 
 class Words:
@@ -51,11 +59,7 @@ class Words:
         inside = (raw != 32) & ((raw < 9) | (raw > 13))
         edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = powers(_BASE, len(raw) + 1)
-        total = np.zeros(len(raw) + 1, U64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-        self._total, self._down = total, down
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = np.fromiter(map(_hashes.__getitem__, self.buf.split()), U64, len(self.start))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
         self.first = np.searchsorted(self.start, offsets)
@@ -63,19 +67,25 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
     def prefixes(self, size: int) -> np.ndarray:
-        """A hash of each word's first ``size`` bytes (of all, if it has fewer)."""
-        stop = np.minimum(self.start + size, self.end)
-        return mix((self._total[stop] - self._total[self.start]) * self._down[self.start])
+        """A hash of each word's first ``size`` bytes, 8 at most (of all, if it has fewer)."""
+        eights = np.ndarray((len(self.buf) + 1,), "<u8", self.buf + bytes(8), strides=(1,))
+        length = np.minimum(self.end - self.start, size)
+        masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+        return mix((eights[self.start] & masks[length]) + length.astype(U64))
 
     def windows(self, width: int) -> np.ndarray:
-        """A hash for the ``width`` words from each word on; entries that leave their text are meaningless."""
+        """A hash for the ``width`` words from each word on, folded from spans of 1, 2, 4, ... words; entries that leave their text are meaningless."""
         n = len(self.hash)
         if n < width:
             return np.zeros(0, U64)
-        up, down = powers(_WORD_BASE, n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(self.hash * up[:n], out=total[1:])
-        return mix((total[width:] - total[:-width]) * down[: n - width + 1])
+        out, done, span, size = None, 0, self.hash, 1
+        while True:
+            if width & size:
+                out = span if out is None else fold(out[: n - done - size + 1], span[done:])
+                done += size
+            if done == width:
+                return out
+            span, size = fold(span[:-size], span[size:]), size * 2
 
     def whole(self, width: int) -> np.ndarray:
         """Which windows of ``width`` words lie inside one text."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from quoteloom.llm import bpe, exact_dedup, html_extract, mtree, near_dedup, packing, quality, secrets, sharding, substring_dedup  # noqa: E402
+from quoteloom.llm.wordhash import Words  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -131,6 +132,51 @@ def test_substring_dedup_edges(spark, empty):
     assert rows == [("1", 60, 0), ("1", 60, 0), ("2", 0, 0), ("3", 60, 60), ("None", 60, 0)]
 
 
+def thue_morse(letters, n=2048):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_substring_dedup_of_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse("ab"), thue_morse("ba")
+    plain = [f"w{i}" for i in range(60)]
+    first, second = [" ".join([*plain[:30], x, *plain[30:]]) for x in (a, b)]
+    df = spark.createDataFrame([(1, first), (2, second), (3, first)], "doc_id long, text string")
+    got = {r.id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 61}
+
+
+def test_substring_dedup_of_one_id_with_two_texts(spark):
+    rng = random.Random(4)
+    passage, other, tail = ([f"{k}{rng.randrange(10**6)}" for _ in range(70)] for k in "abc")
+    rows = [(1, " ".join(passage)), (5, " ".join(passage + tail)), (5, " ".join(other)), (5, " ".join(tail + passage)), (6, " ".join(["x"] * 3 + tail))]
+    want = sorted([(1, 70, 0), (5, 140, 70), (5, 70, 0), (5, 140, 70), (6, 73, 70)])
+    for hot in (512, 1):
+        out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+        assert sorted((r.id, r.n_words, r.n_removed) for r in out) == want
+
+
+def test_substring_dedup_of_a_line_repeated_very_often(spark):
+    line = " ".join(f"l{i}" for i in range(13))
+    df = spark.createDataFrame([(i, "\n".join([line] * k)) for i, k in enumerate((3, 4, 900, 20_000))], "doc_id long, text string")
+    got = {r.id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df, hot=4).collect()}
+    assert got == {0: (39, 0), 1: (52, 0), 2: (13 * 900, 13 * 900), 3: (13 * 20_000, 13 * 20_000)}
+
+
+def test_equal_windows_never_trust_a_hash():
+    rng = random.Random(2)
+    block = Words([" ".join(rng.choice("ab") for _ in range(40)).encode() for _ in range(30)])
+    at = np.flatnonzero(block.whole(4))
+    tokens = block.buf.split()
+    key, doc = block.doc[at] % 3, rng.choices(range(9), k=len(at))
+    for hashed in (np.zeros(len(at), np.uint64), block.windows(4)[at] % np.uint64(3), block.windows(4)[at]):
+        order, first = substring_dedup.equal_windows(block, key, np.array(doc), at, hashed, 4)
+        groups = defaultdict(set)
+        for place, i in enumerate(order.tolist()):
+            groups[int(first[place])].add((int(key[i]), *tokens[at[i] : at[i] + 4]))
+            assert doc[order[first[place]]] <= doc[i]
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set().union(*groups.values()))
+
+
 def test_sliding_min():
     rng = np.random.default_rng(1)
     for width in range(1, 20):
