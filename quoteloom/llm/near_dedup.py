@@ -8,18 +8,22 @@
    bucket.  A bucket only says "each member may be linked with the smallest",
    so it gives a star and never its pairs; the stars' connected components are
    *clusters*.  All links inside a bucket lie inside one cluster.
-3. Inside a cluster, links are confirmed on the full sets.  A cluster is dealt
-   into blocks of limited bytes, ordered by set size, and every two blocks whose
-   sizes allow the asked similarity meet in one task.  The task compares
-   signatures, verifies the pairs that pass on the sets, likeliest first, and
-   skips pairs that its union-find already holds together: it gives a spanning
-   forest of the links, not the links.
-4. The forests' connected components are the result.
+3. Links are confirmed on the full sets.  First every member is compared with
+   the smallest one that it shares a band with: one pair a member, however large
+   its buckets are.  That joins most members of a hot group to one component.
+4. Only clusters whose members are still in several components go on.  Such a
+   cluster is dealt into blocks of limited bytes, ordered by set size, and every
+   two blocks whose sizes allow the asked similarity, and which do not belong to
+   one component as a whole, meet in one task.  The task starts from the
+   components already known, finds candidates by their rarest shingles (two
+   linked sets share one of each one's first ``n - ceil(percent * n) + 1``, so
+   none is lost), verifies them on the sets and skips pairs that its union-find
+   already holds together: it gives a spanning forest of the links.
+5. The connected components of all confirmed links are the result.
 
 Nothing is capped: a hot bucket or cluster becomes more blocks, not a longer
-task.  What can be lost is a pair over the threshold that shares no band (under
-1e-8 at similarity 0.85 with 32 bands of 5) or whose signatures agree in far
-fewer places than expected (``margin``, under 1e-5).
+task.  What can be lost is a pair over the threshold that shares no band: under
+1e-8 at similarity 0.85 with 32 bands of 5.
 """
 
 from __future__ import annotations
@@ -36,8 +40,9 @@ from .wordhash import U64, Words, blocks, mix
 
 WIDTH = 5
 BANDS, ROWS = 32, 5
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 4096
+STAR = 512  # members that one copy of a star's smallest set is compared with
 NONE = np.uint64(2**64 - 1)
 
 
@@ -106,49 +111,27 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
 
 
 def profiles(df: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """``id, t, n, high, low, keys, signature``: hash of the text, set size, set digest, band keys and one byte of each signature place."""
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, t bigint, n bigint, high bigint, low bigint, keys array<bigint>, signature binary"
+    """``id, t, n, high, low, keys``: hash of the text, set size, set digest and band keys."""
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, t bigint, n bigint, high bigint, low bigint, keys array<bigint>"
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches(batch, "text"):
-                n, high, low, keys, marks = [], [], [], [], []
+                n, high, low, keys = [], [], [], []
                 for found in shingle_sets(texts_of(part, "text"), width):
                     signature = super_min_hash(found, bands * rows)
                     n.append(len(found))
                     high.append(int(mix(found).sum(dtype=U64).view(np.int64)))
                     low.append(int(np.bitwise_xor.reduce(mix(found + U64(1))).view(np.int64)) if len(found) else 0)
                     keys.append(band_keys(signature, bands, rows).view(np.int64) if len(found) else None)
-                    marks.append(signature.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("t"), *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                    ["id", "t", "n", "high", "low", "keys", "signature"],
+                    [part.column("id"), part.column("t"), *(pa.array(x, pa.int64()) for x in (n, high, low)), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "t", "n", "high", "low", "keys"],
                 )
 
     return arrow_map(df.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text", f"xxhash64(cast(`{text_col}` as string)) as t"), schema, step)
 
 
-class Forest:
-    """Union-find over 0..n-1 with path halving; the smaller root wins."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -156,30 +139,53 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
 
-def linked_pairs(sets: list[np.ndarray], marks: np.ndarray, split: int, percent: int, margin: float = 0.14) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``; with ``split``, only links between those before it and those from it on.
+def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the intersection is at least ``percent`` hundredths of the union."""
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < percent * large:
+        return False
+    common = shared(a, b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def rare_parts(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Postings of each set's rarest elements: members by element, the bounds of each element's, and each set's elements in it.
 
-    ``sets`` are in order of size within each part.  A link is an intersection
-    of at least ``percent`` hundredths of the union.
+    A set of n elements enters with its ``n - ceil(percent * n / 100) + 1``
+    rarest; two sets whose intersection is at least ``percent`` hundredths of
+    the union have one of these in common.
     """
-    n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    forest = Forest(n)
-    least = max(0.0, percent / 100 - margin) * marks.shape[1]
-    first, last = (0, n) if not split else (split, n)
-    for i in range(split or n):
-        others = np.arange(max(first, i + 1), last)
-        others = others[(100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
-        if not len(others):
-            continue
-        agree = (marks[others] == marks[i]).sum(1)
-        order = np.flatnonzero(agree >= least)
-        for j in others[order[np.argsort(-agree[order], kind="stable")]].tolist():
-            if forest.find(i) == forest.find(j):
-                continue
-            common = shared(sets[i], sets[j])
-            if 100 * common >= percent * (int(sizes[i] + sizes[j]) - common) and forest.join(i, j):
+    every, number = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(number, minlength=len(every))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((number, often[number], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    chosen = place < np.repeat(sizes + percent * sizes // -100 + 1, sizes)
+    member, element = owner[order][chosen], number[order][chosen]
+    rare = np.split(element, np.searchsorted(member, np.arange(1, len(sets))))
+    by_element = np.argsort(element, kind="stable")
+    return member[by_element], np.searchsorted(element[by_element], np.arange(len(every) + 1)), rare
+
+
+def linked_pairs(sets: list[np.ndarray], component: np.ndarray, split: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Links among ``sets`` that join what ``component`` holds apart, as a spanning forest; with ``split``, only links between those before it and those from it on."""
+    if len(sets) < 2:
+        return
+    component = component.copy()
+    sizes = np.array([len(s) for s in sets])
+    members, bounds, rare = rare_parts(sets, percent)
+    for i in range(split or len(sets)):
+        met = [members[bounds[e] : bounds[e + 1]] for e in rare[i].tolist()]
+        others = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        others = others[(others >= split) & (others > i) & (component[others] != component[i])]
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+        while len(others):
+            j, others = int(others[0]), others[1:]
+            if is_link(sets[i], sets[j], percent):
                 yield i, j
+                component[component == component[j]] = component[i]
+                others = others[component[others] != component[i]]
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -195,12 +201,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = cut(profiles(df, id_col, text_col, bands, rows, width))
     usable = found.where("n > 0 and id is not null")
-    one = usable.groupBy("high", "low", "n").agg(F.min(F.struct("id", "t")).alias("rep"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
-    classes = cut(one.select("high", "low", "n", "rep.id", "rep.t", "keys", "signature", F.monotonically_increasing_id().alias("node")))
+    one = usable.groupBy("high", "low", "n").agg(F.min(F.struct("id", "t")).alias("rep"), F.first("keys").alias("keys"))
+    classes = cut(one.select("high", "low", "n", "rep.id", "rep.t", "keys", F.monotonically_increasing_id().alias("node")))
     stars = cut(_stars(classes))
     clusters = components(stars, "node", "low_node").withColumnRenamed("node", "c_node")
-    edges = _verified(df, id_col, text_col, classes, clusters, percent, width, block_bytes, block_docs)
-    joined = components(edges, "a", "b").withColumnRenamed("node", "c_node")
+    member = cut(classes.join(clusters, F.col("node") == F.col("c_node")).select("node", "id", "t", "n", F.col("component").alias("cluster")))
+    sets = cut(_sets(df, id_col, text_col, member, width))
+    known = cut(components(_first_links(sets, stars, percent)))
+    rest = _rest_of_links(sets, member, known, percent, block_bytes, block_docs)
+    joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)).withColumnRenamed("node", "c_node")
     members = cut(joined.join(classes.select("node", "id"), F.col("c_node") == F.col("node")).select("node", "id", "component"))
     names = members.groupBy("component").agg(F.min("id").alias("name"))
     linked = members.join(names, "component").select(F.col("node").alias("c_node"), "name")
@@ -216,79 +225,104 @@ def _stars(classes: DataFrame) -> DataFrame:
     return members.join(lows, "key").where("node > low_node").select("node", "low_node").distinct()
 
 
-def _verified(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, clusters: DataFrame, percent: int, width: int, block_bytes: int, block_docs: int) -> DataFrame:
-    """``a, b``: a spanning forest of the confirmed links inside the clusters, between nodes."""
-    spark = df.sparkSession
-    member = classes.join(clusters, F.col("node") == F.col("c_node")).select("node", "id", "t", "n", "component", "signature")
-    # blocks: by set size in steps of a cluster's bytes; the histogram has a fixed number of size bands per cluster
+def _sets(df: DataFrame, id_col: str, text_col: str, member: DataFrame, width: int) -> DataFrame:
+    """``node, cluster, n, elements``: the members' sets; the only place where texts move."""
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).withColumn("_t", F.xxhash64("text"))
+    with_text = member.join(texts, (member["id"] == texts["_id"]) & (member["t"] == texts["_t"])).dropDuplicates(["_id", "_t"]).select("node", "cluster", "n", "text")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in small_batches(batch, "text"):
+                elements = pa.array([s.tobytes() for s in shingle_sets(texts_of(piece, "text"), width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("node", "cluster", "n")), elements], ["node", "cluster", "n", "elements"])
+
+    return arrow_map(with_text, "node bigint, cluster bigint, n bigint, elements binary", step)
+
+
+def _first_links(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: members that are linked with the smallest one of all their buckets' smallest."""
+    one = cut(stars.groupBy("node").agg(F.min("low_node").alias("low_node")).withColumnRenamed("node", "_node"))
+    copies = cut(one.groupBy("low_node").agg(F.ceil(F.count("*") / STAR).cast("int").alias("copies")).withColumnRenamed("low_node", "low"))
+    salted = one.join(copies, F.col("low_node") == F.col("low")).select("_node", "low_node", F.pmod(F.xxhash64("_node"), F.col("copies")).cast("int").alias("salt"))
+    asked = sets.join(salted, F.col("node") == F.col("_node")).select("node", "low_node", "salt", "n", "elements")
+    lows = sets.join(copies, F.col("node") == F.col("low")).select("low", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("low_salt"), F.col("n").alias("low_n"), F.col("elements").alias("low_elements"))
+    fits = 100 * F.least("n", "low_n") >= percent * F.greatest("n", "low_n")
+    pairs = asked.join(lows, (F.col("low_node") == F.col("low")) & (F.col("salt") == F.col("low_salt")) & fits).select("node", "low", "elements", "low_elements")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch, "elements"):
+                a, b = ([np.frombuffer(x, U64) for x in part.column(c).to_pylist()] for c in ("elements", "low_elements"))
+                linked = pa.array([is_link(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())
+                yield part.select(["node", "low"]).rename_columns(["a", "b"]).filter(linked)
+
+    return arrow_map(pairs, "a bigint, b bigint", step)
+
+
+def _rest_of_links(sets: DataFrame, member: DataFrame, known: DataFrame, percent: int, block_bytes: int, block_docs: int) -> DataFrame:
+    """``a, b``: links between members of one cluster that the first ones leave apart, as spanning forests."""
+    spark = sets.sparkSession
+    known = known.withColumnRenamed("node", "c_node")
+    labelled = member.join(known, F.col("node") == F.col("c_node"), "left").select("node", "n", "cluster", F.coalesce("component", "node").alias("component"))
+    apart = labelled.groupBy("cluster").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("cluster")
+    labelled = cut(labelled.join(apart, "cluster"))
+    # a component that fills blocks of its own never meets itself; all others of a cluster are dealt together
+    sized = labelled.groupBy("cluster", "component").agg(F.sum(8 * F.col("n") + 100).alias("bytes"), F.count("*").alias("docs"))
+    alone = (F.col("bytes") > block_bytes / 2) | (F.col("docs") > block_docs / 2)
+    groups = sized.select("cluster", "component", F.when(alone, F.col("component")).otherwise(F.lit(-1)).alias("own"))
+    # blocks: by set size in steps of a group's bytes; the histogram has a fixed number of size bands per group
     band = F.floor(F.log(F.col("n").cast("double")) * 8).cast("int")
-    member = cut(member.withColumn("band", band))
-    bands = member.groupBy("component", "band").agg(F.sum(8 * F.col("n") + 600).alias("bytes"), F.count("*").alias("docs"), F.min("n").alias("low_n"), F.max("n").alias("high_n"))
+    labelled = cut(labelled.join(groups, ["cluster", "component"]).withColumn("band", band))
+    bands = labelled.groupBy("cluster", "own", "band").agg(F.sum(8 * F.col("n") + 100).alias("bytes"), F.count("*").alias("docs"), F.min("n").alias("low_n"), F.max("n").alias("high_n"))
     parts = F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("docs") / block_docs)).cast("int")
     # small clusters stay whole: one block if all their bands fit together
-    whole = bands.groupBy("component").agg(F.sum("bytes").alias("all_bytes"), F.sum("docs").alias("all_docs"))
+    whole = bands.groupBy("cluster").agg(F.sum("bytes").alias("all_bytes"), F.sum("docs").alias("all_docs"))
     fits = (F.col("all_bytes") <= block_bytes) & (F.col("all_docs") <= block_docs)
-    planned = cut(bands.join(whole, "component").select("component", "band", fits.alias("fits"), parts.alias("parts"), "low_n", "high_n"))
-    placed = member.join(planned.select("component", "band", "fits", "parts"), ["component", "band"]).select(
-        "node", "id", "t", "component", "signature",
+    planned = cut(bands.join(whole, "cluster").select("cluster", "own", "band", fits.alias("fits"), parts.alias("parts"), "low_n", "high_n"))
+    placed = labelled.join(planned.select("cluster", "own", "band", "fits", "parts"), ["cluster", "own", "band"]).select(
+        F.col("node").alias("_node"), "component",
+        F.when(F.col("fits"), F.lit(-1)).otherwise(F.col("own")).alias("own"),
         F.when(F.col("fits"), F.lit(-1)).otherwise(F.col("band")).alias("band"),
         F.when(F.col("fits"), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("part"),
     )
     large = planned.where("not fits").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left, right = large.alias("l"), large.alias("r")
-    meet = left.join(right, (F.col("l.component") == F.col("r.component")) & (F.struct("l.band", "l.part") <= F.struct("r.band", "r.part")) & (100 * F.col("l.high_n") >= percent * F.col("r.low_n")))
-    meet = meet.select(F.col("l.component").alias("component"), F.col("l.band").alias("band1"), F.col("l.part").alias("part1"), F.col("r.band").alias("band2"), F.col("r.part").alias("part2"))
-    one = meet.select("component", F.col("band1").alias("band"), F.col("part1").alias("part"), F.concat_ws(".", "band1", "part1", "band2", "part2").alias("task"), F.lit(0).alias("side"))
-    two = meet.where("band1 <> band2 or part1 <> part2").select("component", F.col("band2").alias("band"), F.col("part2").alias("part"), F.concat_ws(".", "band1", "part1", "band2", "part2").alias("task"), F.lit(1).alias("side"))
-    small = planned.where("fits").select("component", F.lit(-1).alias("band"), F.lit(0).alias("part"), F.lit("").alias("task"), F.lit(0).alias("side")).distinct()
-    tasks = cut(small.unionByName(one).unionByName(two))
-    schema = "id bigint, component bigint, signature binary, band int, part int, elements binary"
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).withColumn("_t", F.xxhash64("text"))
-    with_text = placed.join(texts, (placed["id"] == texts["_id"]) & (placed["t"] == texts["_t"])).select(F.col("node").alias("id"), "component", "signature", "band", "part", "text")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in small_batches(batch, "text"):
-                elements = pa.array([s.tobytes() for s in shingle_sets(texts_of(piece, "text"), width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("id", "component", "signature", "band", "part")), elements], ["id", "component", "signature", "band", "part", "elements"])
-
-    sets = arrow_map(with_text, schema, to_sets)
-    dealt = sets.join(tasks, ["component", "band", "part"]).select("component", "task", "side", "id", "signature", "elements")
+    block = lambda side: F.struct(f"{side}.band", f"{side}.own", f"{side}.part")
+    strange = (F.col("l.own") == -1) | (F.col("l.own") != F.col("r.own"))
+    meet = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & (block("l") <= block("r")) & strange & (100 * F.col("l.high_n") >= percent * F.col("r.low_n")))
+    task = F.concat_ws(".", "l.band", "l.own", "l.part", "r.band", "r.own", "r.part").alias("task")
+    sides = F.array(F.struct(*(F.col(f"l.{c}").alias(c) for c in ("own", "band", "part")), F.lit(0).alias("side")), F.struct(*(F.col(f"r.{c}").alias(c) for c in ("own", "band", "part")), F.lit(1).alias("side")))
+    meet = meet.select(F.col("l.cluster").alias("cluster"), task, F.explode(F.when(block("l") == block("r"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s")).select("cluster", "s.own", "s.band", "s.part", "task", "s.side")
+    small = planned.where("fits").select("cluster", F.lit(-1).cast("long").alias("own"), F.lit(-1).alias("band"), F.lit(0).alias("part"), F.lit("").alias("task"), F.lit(0).alias("side")).distinct()
+    tasks = cut(small.unionByName(meet))
+    with_sets = sets.join(placed, F.col("node") == F.col("_node")).select("node", "cluster", "component", "own", "band", "part", "elements")
+    dealt = with_sets.join(tasks, ["cluster", "own", "band", "part"]).select("cluster", "task", "side", "node", "component", "elements")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(partitions, "component", "task").sortWithinPartitions("component", "task", "side", "id")
+    dealt = dealt.repartition(partitions, "cluster", "task").sortWithinPartitions("cluster", "task", "side", "node")
     return arrow_map(dealt, "a bigint, b bigint", _task_links(percent))
 
 
 def _task_links(percent: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sides, marks, sets, seen = None, [], [], [], [], set()
+        key, nodes, sides, labels, sets = None, [], [], [], []
 
         def links() -> Iterator[pa.RecordBatch]:
-            if len(ids) < 2:
-                return
-            order = sorted(range(len(ids)), key=lambda i: (sides[i], len(sets[i])))
+            order = sorted(range(len(nodes)), key=lambda i: (sides[i], len(sets[i])))
             split = sides.count(0) if 1 in sides else 0
-            grid = np.frombuffer(b"".join(marks[i] for i in order), np.uint8).reshape(len(ids), -1)
-            pairs = [(ids[order[i]], ids[order[j]]) for i, j in linked_pairs([sets[i] for i in order], grid, split, percent)]
+            pairs = [(nodes[order[i]], nodes[order[j]]) for i, j in linked_pairs([sets[i] for i in order], np.array([labels[i] for i in order]), split, percent)]
             if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
 
-        id_type = pa.int64()
         for batch in batches:
-            id_type = batch.schema.field("id").type
-            columns = [batch.column(c).to_pylist() for c in ("component", "task", "side", "id", "signature")]
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "task", "side", "node", "component")]
             elements = batch.column("elements")
-            for i, (component, task, side, doc, mark) in enumerate(zip(*columns, strict=True)):
-                if key != (component, task):
+            for i, (cluster, task, side, node, label) in enumerate(zip(*columns, strict=True)):
+                if key != (cluster, task):
                     yield from links()
-                    key, ids, sides, marks, sets, seen = (component, task), [], [], [], [], set()
-                if (side, doc) in seen:
-                    continue
-                seen.add((side, doc))
-                ids.append(doc)
+                    key, nodes, sides, labels, sets = (cluster, task), [], [], [], []
+                nodes.append(node)
                 sides.append(side)
-                marks.append(mark)
+                labels.append(label)
                 sets.append(np.frombuffer(elements[i].as_py(), U64))
         yield from links()
 

@@ -237,6 +237,62 @@ def test_near_dedup_takes_rows_that_share_an_id_or_have_none_one_by_one(spark):
     assert sum(i is None and bool(t) for i, t in kept) == 1
 
 
+def test_near_dedup_of_words_that_polynomial_hashes_confuse(spark):
+    rows = [(1, thue_morse("ab")), (2, thue_morse("ba")), (3, thue_morse("AB"))]
+    got = {r.id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_docs": 16}, {"block_bytes": 4000}])
+def test_near_dedup_in_one_hot_cluster(spark, sizes):
+    """A template that all texts share, some of them near copies of each other in chains."""
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(90)]
+    texts = []
+    for i in range(120):
+        base = texts[-1].split() if i % 4 and texts else [*template, *(f"{i}x{k}" for k in range(rng.choice((6, 12, 30))))]
+        if i % 4:
+            base[rng.randrange(len(base))] = f"edit{i}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(df, percent=85, **sizes).collect()}
+    assert got == near(texts, 85) and 5 < len({c for _, c in got.values()}) < 100
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_pairs_hold_together_what_brute_force_does(percent):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    for split in (0, 30):
+        sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)))) for _ in range(60)]
+        sets = [*sorted(sets[:split], key=len), *sorted(sets[split:], key=len)]
+        label = rng.integers(0, 40, 60)
+
+        def groups(pairs, label=label):
+            label = label.copy()
+            for i, j in pairs:
+                label[label == label[j]] = label[i]
+            return {frozenset(np.flatnonzero(label == x).tolist()) for x in label}
+
+        right = [(i, j) for i in range(split or 60) for j in range(max(split, i + 1), 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+        found = list(near_dedup.linked_pairs(sets, label, split, percent))
+        assert set(found) <= set(right) and groups(found) == groups(right) and len(groups(right)) < len(groups([]))
+
+
+def test_bands_find_pairs_just_over_the_threshold():
+    rng = np.random.default_rng(5)
+    missed, low = 0, 0
+    for _ in range(1200):
+        n, own = rng.integers(100, 400), rng.uniform(0.055, 0.08)
+        x = rng.integers(0, 2**63, int(n * (1 + own))).astype(np.uint64)
+        a, b = x[: int(n)], x[int(n * own) :]
+        alike = near_dedup.shared(np.sort(a), np.sort(b)) / len(x)
+        low += 0.85 <= alike <= 0.9
+        keys = [near_dedup.band_keys(near_dedup.super_min_hash(s, near_dedup.BANDS * near_dedup.ROWS), near_dedup.BANDS, near_dedup.ROWS) for s in (a, b)]
+        missed += not (keys[0] == keys[1]).any()
+    assert low >= 1000 and missed == 0
+
+
 def test_super_min_hash_estimates_and_is_a_permutation_walk():
     rng = np.random.default_rng(2)
     errors = []
@@ -248,9 +304,13 @@ def test_super_min_hash_estimates_and_is_a_permutation_walk():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < (0.6 * 0.4 / 128) ** 0.5 * 1.15
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_components(spark, monkeypatch, small):
+    from quoteloom.llm import common
     from quoteloom.llm.common import components
 
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
+
     edges = [(2, 1), (3, 2), (5, 4), (9, 8), (8, 7), (7, 5), (6, 6), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 4, 8: 4, 9: 4, 6: 6}
