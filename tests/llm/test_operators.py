@@ -451,7 +451,6 @@ def test_packing_places_every_token_once(docs, texts, empty):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in packing.pack(docs, JSON).collect():
         pieces[r.id].append(r)
@@ -474,6 +473,52 @@ def test_packing_places_every_token_once(docs, texts, empty):
     assert packing.pack(empty, JSON).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    rng = random.Random(3)
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n <|endoftext| >", None, "x", "x"]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "\n", "it's", "É", "12", "。", "\u00a0", "end. Next", "?!"]) for _ in range(40)) for _ in range(200)]
+    df = spark.createDataFrame([(None if i > 4 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sorted(packing.pack(df.coalesce(1), JSON).collect(), key=lambda r: (r.sequence_id, r.offset))
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert [i for r in rows for i in r.ids] == [i for ids in want for i in ids]
+    assert sum(r.start == 0 for r in rows) == len(texts) and {r.doc_tokens for r in rows} == set(map(len, want))
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+
+
+def test_packing_cuts_inside_a_sentence_only_where_none_ends(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnrst") for _ in range(rng.randint(2, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + rng.choice(". ! ?".split())
+    texts = [" ".join(sentence(rng.randint(3, 60)) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts[7] = sentence(3000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    enc = packing.encoder(JSON)
+    inside = Counter()
+    pieces = packing.pack(df, JSON).collect()
+    for r in pieces:
+        if r.start + r.length < r.doc_tokens:
+            ids = np.array([*enc.encode(texts[r.id]), 0])
+            inside[r.id] += r.start + r.length not in enc.sentence_ends(ids).tolist()
+    assert inside[7] > 3 and sum(inside.values()) == inside[7]
+    used = Counter()
+    for r in pieces:
+        used[r.sequence_id] += r.length
+    padded = sum(0 if n & (n - 1) == 0 else 1024 - n for n in used.values())
+    assert padded < 0.08 * sum(used.values())  # sentences of up to 200 tokens
+
+
+def test_packing_of_a_document_longer_than_a_block():
+    enc = packing.encoder(JSON)
+    ids = np.array([*enc.encode("One two three four. " * 700), 0], np.uint32)
+    packer = packing.Packer(enc, 0, window=64, block=500)
+    pieces = [*packer.add("x", ids), *packer.flush()]
+    assert np.concatenate([p[7] for p in pieces]).tolist() == ids.tolist() and all(p[4] == len(ids) for p in pieces)
+    assert [p[1] for p in pieces] == np.cumsum([0, *(p[2] for p in pieces[:-1])]).tolist()
+
+
 def test_packing_cuts_are_cheapest():
     rng = random.Random(6)
     for _ in range(60):
