@@ -435,6 +435,43 @@ def test_bpe_is_exact_for_every_leaf_size():
             assert ids == enc.encode_ordinary(t) and bpe.decode_tree(enc, ids, leaf) == t.encode()
 
 
+def test_bpe_joins_are_associative_and_never_encode_twice():
+    enc, rng = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(9)
+    pieces = ["'", "'s", "'re", "a", "B", "Zz", "é", "ß", "中", "文", "1", "23", "٣", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", ".", "''", "-", "_", "💡", "\u0301", "ll", "don't", "x'"]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40)))
+        want = enc.encode_ordinary(t)
+        assert bpe.encode_tree(enc, t, leaf=rng.randint(1, 9)) == want
+        cuts = sorted(rng.choices(range(len(t) + 1), k=rng.randint(0, 6)))
+        spans = [bpe.leaf_span(enc, t, a, b) for a, b in itertools.pairwise([0, *cuts, len(t)])]
+        while len(spans) > 1:  # join neighbours in any order
+            k = rng.randrange(len(spans) - 1)
+            spans[k : k + 2] = [bpe.join_spans(enc, t, spans[k], spans[k + 1])]
+        whole = spans[0]
+        if whole.first is None:
+            assert want == enc.encode_ordinary(t)
+        else:
+            assert enc.encode_ordinary(t[: whole.first]) + whole.ids + enc.encode_ordinary(t[whole.last :]) == want
+
+    class Counted:
+        seen = 0
+
+        def encode_ordinary(self, text):
+            Counted.seen += len(text)
+            return enc.encode_ordinary(text)
+
+    for text in ("ab cd, " * 5000, "x" * 50_000, "\n" * 3000 + "y" * 9000 + " z"):
+        Counted.seen = 0
+        assert bpe.encode_tree(Counted(), text) == enc.encode_ordinary(text) and Counted.seen == len(text)
+
+
+def test_bpe_keeps_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, None), (1, ""), (1, "x" * 3000), (1, "x" * 3000)]
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
+    assert Counter((r.id, tuple(r.ids)) for r in out) == Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t in rows)
+
+
 def test_bpe_in_spark(docs, texts, empty):
     enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
     got = {r.id: r.ids for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN, leaf=500).collect()}
