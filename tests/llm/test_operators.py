@@ -635,6 +635,52 @@ def test_top_k(spark):
     assert mtree.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_few_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [2.0, 2.0]), (7, [2.0, 3.0]), (8, [1.0, 1.0]), (20, [5.0, 0.0]), (40, [1.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = defaultdict(list)
+    for r in sorted(mtree.top_k(v, v.where("id % 20 = 0"), 4, 2, 1).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.id, r.score))
+    assert got == {0: [(7, 3), (7, 2), (8, 1), (20, 0)], 20: [(7, 10), (7, 10), (0, 5), (8, 5)]}
+
+
+def clusters(rng, many, each, dim=16):
+    centres = rng.integers(-60, 60, (many, dim))
+    return np.repeat(centres, each, 0) + rng.integers(-2, 3, (many * each, dim))
+
+
+def test_tree_search_prunes_and_is_exact():
+    rng = np.random.default_rng(11)
+    v = clusters(rng, 40, 100).astype(float)
+    ids = np.arange(len(v))
+    tree = mtree.Tree(ids, v, float((v * v).sum(1).max()))
+    queries = ids[::20]
+    scores, names = tree.search(v[queries], queries, 10)
+    all_scores = v[queries] @ v.T
+    for row, q in enumerate(queries.tolist()):
+        want = sorted((-all_scores[row, i], i) for i in ids.tolist() if i != q)[:10]
+        assert list(zip((-scores[row]).tolist(), names[row].tolist(), strict=True)) == want
+    assert tree.computed < 0.25 * len(queries) * len(v)
+
+
+def test_top_k_meets_only_trees_within_reach(spark):
+    rng = np.random.default_rng(12)
+    v = clusters(rng, 30, 60).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    top = float((v * v).sum(1).max())
+    pivots = mtree.choose_pivots(df, top, 30, 60)
+    trees = mtree.build_trees(df, pivots, top, 64, 8)
+    cells = trees.groupBy("dim", "cell").agg(F.max("n").alias("n"), F.max("radius").alias("radius"), F.count("*").cast("int").alias("parts")).cache()
+    kth = np.sort(v[::20] @ v.T, 1)[:, -6]
+    asked = spark.createDataFrame([(i * 20, v[i * 20].tolist(), float(s)) for i, s in enumerate(kth)], "id long, v array<double>, least double")
+    meetings = mtree._asked(asked, cells, pivots, top, 5, first=False).count()
+    assert len(kth) <= meetings < 0.25 * len(kth) * cells.count()
+    got = {(r.query_id, r.rank): r.score for r in mtree.top_k(df, df.where("id % 20 = 0"), 5, 64, 8, 30).collect()}
+    for i, row in enumerate(v[::20] @ v.T):
+        row[i * 20] = -np.inf
+        assert [got[i * 20, k] for k in range(1, 6)] == np.sort(row)[::-1][:5].tolist()
+
+
 # ---- quality
 
 
