@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -372,6 +373,112 @@ def test_random_strings_pass_and_words_do_not(spark):
     assert len(flagged & set(range(300))) >= 290 and len(flagged & set(range(300, 600))) <= 30
 
 
+def judged_by_hand(word):
+    """Encoding, length band and level of a candidate, from the definitions."""
+    body = word.rstrip("=")
+    code = next((i for i, (_, letters) in enumerate(secrets.ALPHABETS) if set(body) <= set(letters)), -1)
+    band = sum(len(body) >= edge for edge in secrets.LENGTH_EDGES)
+    if code < 0:
+        return code, band, 0
+    letters = secrets.ALPHABETS[code][1]
+    n, size, tail = len(body), len(letters), lambda z: math.erfc(z / 2**0.5) / 2
+    squares = sum(c * c for c in Counter(body).values())
+    df = size - 1
+    z1 = ((max(squares * size / n - n, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    half = [letters.index(c) >= size // 2 for c in body]
+    high, runs = sum(half), 1 + sum(a != b for a, b in itertools.pairwise(half))
+    product = 2 * high * (n - high)
+    z2 = abs(runs - product / n - 1) / max(product * (product - n) / (n * n * (n - 1)), 1e-9) ** 0.5 if product else 9
+    x = np.array([letters.index(c) for c in body], float)
+    x -= x.mean()
+    z3 = abs((x[1:] * x[:-1]).sum() / (x * x).sum() + 1 / n) * n**0.5 if x.any() else 9
+    if 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)) < secrets.ALPHA:
+        return code, band, 0
+    s2, s3 = secrets._ordinary(letters)
+    mean, var = n + n * (n - 1) * s2, 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2**2)
+    kind = [(c.islower(), c.isupper(), c.isdigit()) for c in body]
+    changes, rate = sum(a != b for a, b in itertools.pairwise(kind)), secrets.CHANGES
+    broken = (changes - 0.5 - rate * (n - 1)) / (rate * (1 - rate) * (n - 1)) ** 0.5
+    return code, band, int(-20 * math.log10(min(1, 2 * min(tail((mean - squares) / var**0.5), tail(broken)))))
+
+
+def candidates_of(rng, n=400):
+    words = ["data", "stream", "user", "Config", "value", "manager", "handler", "index", "of", "the", "report"]
+    kinds = [
+        lambda: "".join(rng.choice(secrets.ALPHABETS[rng.randrange(8)][1]) for _ in range(rng.randint(20, 150))),
+        lambda: "-".join(rng.choice(words) for _ in range(rng.randint(4, 12))),
+        lambda: "".join(rng.choice(words).capitalize() for _ in range(rng.randint(4, 12))),
+        lambda: "/".join(rng.choice(words) for _ in range(rng.randint(4, 12))) + str(rng.randrange(10**6)),
+        lambda: rng.choice("ab0Z") * rng.randint(20, 60),
+        lambda: "20240102030405060708" * rng.randint(1, 3),
+    ]
+    return [w for w in (rng.choice(kinds)() for _ in range(n)) if len(w) >= 20]
+
+
+def test_randomness_battery_is_what_its_definitions_say(spark):
+    words = candidates_of(random.Random(21))
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets._judged(F.col("w")).alias("j"))
+    for r in df.collect():
+        code, band, level = judged_by_hand(r.w)
+        assert r.j.stratum == code * (len(secrets.LENGTH_EDGES) + 1) + band
+        assert abs(r.j.level - level) <= 1 + level // 50 or (level == 0) != (r.j.level == 0) and max(level, r.j.level) <= 2, r.w
+
+
+def test_flag_levels_are_benjamini_and_hochbergs(spark):
+    rng = random.Random(22)
+    tests = [(rng.randrange(4), min(399, int(rng.expovariate(0.05 if rng.random() < 0.3 else 0.2)))) for _ in range(900)]
+    rows = [([(0, 1, 3, t) for t in tests[i : i + 7]],) for i in range(0, 900, 7)]
+    df = spark.createDataFrame(rows, "tested array<struct<start:int,stop:int,kind:int,test:struct<stratum:int,level:int>>>")
+    got = {r.stratum: r.least for r in secrets.flag_levels(df).collect()}
+    for stratum in range(4):
+        levels = sorted((level for s, level in tests if s == stratum), reverse=True)
+        passing = [x for k, x in enumerate(levels, 1) if 10 ** (-x / 20) * len(levels) <= secrets.FDR * sum(y >= x for y in levels)]
+        assert got.get(stratum) == (min(passing) if passing else None)
+
+
+def test_few_ordinary_strings_are_flagged_at_any_length(spark):
+    rng = random.Random(23)
+    letters, sites = secrets.ALPHABETS[5][1], "".join(c * n for c, n in secrets.LETTERS.items())
+    texts, secret = [], set()
+    for length in (22, 40, 90):
+        for _ in range(500):
+            texts.append("".join(rng.choice(sites) for _ in range(length)).capitalize() + str(rng.randrange(10)))
+        for _ in range(100):
+            secret.add(len(texts))
+            texts.append("".join(rng.choice(letters) for _ in range(length)))
+    found = {r.id for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("size(spans) > 0").collect()}
+    for first in (0, 600, 1200):
+        band = set(range(first, first + 600))
+        assert len((found & band) - secret) <= 0.1 * max(10, len(found & band))
+    assert len(found & secret & set(range(600, 1800))) >= 180
+
+
+def test_candidates_are_pieces_outside_base_spans(spark):
+    rng = random.Random(24)
+    letters = secrets.ALPHABETS[5][1]
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    one, two, three, four = key(60), key(60), key(60), key(60)
+    rows = [(0, f"/api/v1/{one}/x-y and"), (1, f"token={two} {three}"), (2, f"\u0001{four}\u0002"), (3, "plain words"), (4, "a_b-c/d+e" * 9)]
+    got = {r.id: [(s.start, s.stop, s.kind) for s in r.spans] for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [(8, 68, 3)], 1: [(0, 66, 0), (67, 127, 3)], 2: [(1, 61, 3)], 3: [], 4: []}
+
+
+def test_secret_spans_and_redaction_of_texts_with_very_many_matches(spark):
+    rng = random.Random(25)
+    text = "".join(f"{'é' * rng.randint(0, 9)} token={rng.randrange(10**15):015d}x {'ab' * rng.randint(0, 30)}" for _ in range(9000))
+    text += "0123456789abcdef" * 700
+    df = spark.createDataFrame([(1, text), (2, "x" * 10_000), (3, "token=" + "y" * 9000 + " z")], "doc_id long, text string")
+    got = {r.id: [(s.start, s.kind, s.stop) for s in r.spans if s.kind < 3] for r in secrets.secret_spans(df).collect()}
+    assert got[1] == base_spans(text) and len(got[1]) > 9000
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    want, at = [], 0
+    for start, _, stop in got[1]:
+        if start >= at:
+            want += [text[at:start], "[SECRET]"]
+        at = max(at, stop)
+    assert clean == {1: "".join([*want, text[at:]]), 2: "x" * 10_000, 3: "[SECRET] z"}
+
+
 # ---- html
 
 
