@@ -304,9 +304,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
     its own ones, whatever its id is.
     """
     rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    found = secret_spans(rows, "row", "text", fdr).select("id", "spans", _merged(F.col("spans")).alias("cuts"))
+    found = secret_spans(rows, "row", "text", fdr)
     text = F.col("id")[text_col]
-    redacted = F.when(F.size("spans") > 0, _replaced(text, F.col("cuts"), mark)).otherwise(text)
+    redacted = F.when(F.size("spans") > 0, _let(_merged(F.col("spans")), lambda cuts: _replaced(text, cuts, mark))).otherwise(text)
     return found.select(*((redacted if c == text_col else F.col("id")[c]).alias(c) for c in df.columns))
 
 
@@ -331,14 +331,16 @@ def _replaced(text: Column, cuts: Column, mark: str) -> Column:
 
     def chunk(piece: Column, i: Column) -> Column:
         low = i * CHUNK
-        here = F.filter(cuts, lambda c: (c["start"] < low + F.length(piece)) & (c["stop"] > low))
 
-        def before(c: Column, k: Column) -> Column:
-            begin = F.when(k == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(here, F.greatest(k, F.lit(1)))["stop"], F.lit(0)) - low)
-            return F.concat(F.substring(piece, begin + 1, F.greatest(c["start"] - low - begin, F.lit(0))), F.when(c["start"] >= low, F.lit(mark)).otherwise(F.lit("")))
+        def put_together(here: Column) -> Column:
+            def before(c: Column, k: Column) -> Column:
+                begin = F.when(k == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(here, F.greatest(k, F.lit(1)))["stop"], F.lit(0)) - low)
+                return F.concat(F.substring(piece, begin + 1, F.greatest(c["start"] - low - begin, F.lit(0))), F.when(c["start"] >= low, F.lit(mark)).otherwise(F.lit("")))
 
-        tail = F.substring(piece, F.coalesce(F.try_element_at(here, F.lit(-1))["stop"] - low, F.lit(0)) + 1, F.length(piece))
-        return F.concat(F.array_join(F.transform(here, before), ""), tail)
+            tail = F.substring(piece, F.coalesce(F.try_element_at(here, F.lit(-1))["stop"] - low, F.lit(0)) + 1, F.length(piece))
+            return F.concat(F.array_join(F.transform(here, before), ""), tail)
+
+        return _let(F.filter(cuts, lambda c: (c["start"] < low + F.length(piece)) & (c["stop"] > low)), put_together)
 
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), chunk), "")
 
