@@ -1,8 +1,12 @@
 """HTML extraction with consensus host paths.
 
-1. Every page is parsed once by itself: its text blocks are found, each below a
+1. Every page is parsed by itself: its text blocks are found, each below a
    chain of containers, and the containers are scored by the text that stands in
-   them outside links and boilerplate.  From the best one the search climbs to
+   them outside links and boilerplate.  Elements that say by their kind that they
+   are boilerplate (``nav``, ``footer``, hidden ones) are left out.  Names of
+   classes and ids are only a hint: text below them counts at a ``DOUBT`` of its
+   length, and where even so it outweighs all else, the name was misleading and
+   the element stays.  From the best one the search climbs to
    the article or main element around it, or, where there is none, to the
    innermost container with all unlinked text of the page; that one casts the
    page's vote: its generalised tag-class path (digits and order of classes
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +38,7 @@ from .common import arrow_map, cut, small_batches
 
 BROADCAST_HOSTS = 20_000
 NEARLY_ALL = 0.95
+LONGEST_PATH = 500
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -51,6 +57,7 @@ MATH = frozenset(
     "mtr munder munderover none semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LIST_TAGS = frozenset("ul ol li".split())
 CONTAINERS = frozenset("article body center div html main section td".split())
 BOILERPLATE_TAGS = frozenset("aside button datalist dialog footer form head menu nav select".split())
 BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -59,6 +66,13 @@ BOILERPLATE_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond responses search share sharing "
     "sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar widget".split()
 )
+#: Of these words, those that hardly ever name anything else.
+PLAIN_WORDS = frozenset(
+    "ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager "
+    "pagination popup promo promoted related replies reply respond sharing sidebar signin signup skip social sponsor sponsored subscribe toolbar topbar".split()
+)
+#: What text below a name counts, for plain words and for the others.
+DOUBT = (0.01, 0.25)
 HEADER_WORDS = frozenset("header".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: Elements whose ids are anchors and say nothing of what they hold; a section's does so inside an article or content only.
@@ -67,7 +81,7 @@ BEFORE_HARMLESS = frozenset("has no with without".split())
 
 
 class _Kind:
-    __slots__ = ("bad", "bonus", "content", "label", "main", "named")
+    __slots__ = ("bad", "bonus", "content", "doubt", "label", "main", "named")
 
     def __init__(self, tag: str, attrs: str):
         found: dict[str, str] = {}
@@ -78,27 +92,30 @@ class _Kind:
         bad = tag in BOILERPLATE_TAGS or found.get("role", "").lower() in BOILERPLATE_ROLES
         bad |= "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
 
-        def boilerplate(names: list[list[str]]) -> bool:
+        def doubt(names: list[list[str]]) -> float:
+            """0 without a word for boilerplate, else what text below is worth."""
+            out = 0.0
             for name in names:
                 for i, p in enumerate(name):
                     header = p in HEADER_WORDS and tag not in INLINE and not re.fullmatch("h[1-6]", tag)
                     if (p in BOILERPLATE_WORDS or header) and not (i and name[i - 1] in BEFORE_HARMLESS):
                         last = i == len(name) - 1 and not header  # an entry-header holds the title, an entry-footer nothing of the text
                         if last or not flat & CONTENT_WORDS:
-                            return True
-            return False
+                            worth = DOUBT[0] if p in PLAIN_WORDS else DOUBT[1]
+                            out = min(out or worth, worth)
+            return out
 
         whole = tag in ("html", "body", "article", "main")
-        bad |= not whole and boilerplate(classes)
-        self.named = not whole and tag not in ANCHORED and boilerplate(anchors)  # by its id alone
-        if self.named and tag != "section" and ["section"] not in classes:
-            bad, self.named = True, False
         self.bad = bad
+        self.doubt = 0.0 if whole else doubt(classes)
+        self.named = 0.0 if whole or tag in ANCHORED else doubt(anchors)  # by its id alone
+        if self.named and tag != "section" and ["section"] not in classes:
+            self.doubt, self.named = min(self.doubt or self.named, self.named), 0.0
         self.content = tag not in ("html", "body") and (tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody" or bool(flat & CONTENT_WORDS))
         self.bonus = (1.5 if tag == "article" or found.get("itemprop") == "articleBody" else 1.25 if tag == "main" or found.get("role") == "main" else 1.0) * (1.25 if flat & CONTENT_WORDS else 1.0)
         labels = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
         self.main = tag == "main" or found.get("role") == "main"
-        self.label = ".".join([tag, *labels[:3]])
+        self.label = ".".join([tag, *labels])
 
 
 _kinds: dict[tuple[str, str], _Kind] = {}
@@ -118,22 +135,50 @@ class Page:
     """Containers (``parent, path, bonus, article, main``) and text blocks (``container, text, linked characters``) of a page, boilerplate left out."""
 
     def __init__(self, source: str):
-        self.parent: list[int] = [-1]
-        self.path: list[str] = [""]
-        self.bonus: list[float] = [1.0]
-        self.article: list[bool] = [False]
-        self.main: list[bool] = [False]
-        self.blocks: list[tuple[int, str, int]] = []
-        self._parse(source)
+        spared = self._read(source, frozenset())
+        if spared:
+            self._read(source, spared)
         self.unlinked = [0] * len(self.parent)  # characters in the whole subtree
         for k, text, linked in self.blocks:
             self.unlinked[k] += max(0, len(text) - 2 * linked)
         for k in range(len(self.parent) - 1, 0, -1):
             self.unlinked[self.parent[k]] += self.unlinked[k]
 
-    def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether it starts boilerplate, whether it says that it holds the content
-        node, bad, articles, contents = 0, 0, 0, 0
+    def _read(self, source: str, spared: frozenset[int]) -> frozenset[int]:
+        """Parse; gives the places of elements that are left out for their names but should stay."""
+        self.parent: list[int] = [-1]
+        self.path: list[str] = [""]
+        self.bonus: list[float] = [1.0]
+        self.article: list[bool] = [False]
+        self.main: list[bool] = [False]
+        self.blocks: list[tuple[int, str, int]] = []
+        self.doubted: list[tuple[int, int, float, list[int]]] = []  # the doubted element around it, place, worth, [unlinked characters]
+        self._parse(source, spared)
+        if spared or not self.doubted:
+            return frozenset()
+        kept = sum(max(0, len(text) - 2 * linked) for _, text, linked in self.blocks)
+        totals = [own[0] for *_, own in self.doubted]
+        for k in range(len(totals) - 1, -1, -1):
+            if self.doubted[k][0] >= 0:
+                totals[self.doubted[k][0]] += totals[k]
+        out: set[int] = set()
+        tops = [k for k, found in enumerate(self.doubted) if found[0] < 0]
+        for k in sorted(tops, key=lambda k: -self.doubted[k][2] * totals[k]):
+            if self.doubted[k][2] * totals[k] <= kept:
+                break
+            out.add(self.doubted[k][1])
+            kept += totals[k]
+        for k, (outer, at, _, _) in enumerate(self.doubted):  # of what stays, also the one inside that holds the most of it
+            if outer >= 0 and self.doubted[outer][1] in out and totals[k] > totals[outer] / 2:
+                out.add(at)
+        return frozenset(out)
+
+    def _parse(self, source: str, spared: frozenset[int]) -> None:
+        # tag, container, the container and the doubted element around it, whether it starts boilerplate, and by its kind, whether it says that it holds the content
+        stack: list[tuple[str, int, int, int, bool, bool, bool]] = []
+        open_tags: dict[str, int] = {}
+        lists: list[int] = []  # places of ul, ol and li in the stack
+        node, bad, hard, articles, contents, doubted = 0, 0, 0, 0, 0, -1
         words: list[str] = []
         linked, in_link, breaks = 0, False, 0
         at = 0
@@ -147,24 +192,43 @@ class Page:
                 words.clear()
             linked = breaks = 0
 
+        def push(tag: str, container: int, is_bad: bool, is_hard: bool, content: bool, outer: int) -> None:
+            nonlocal bad, hard, articles, contents
+            if tag in LIST_TAGS:
+                lists.append(len(stack))
+            stack.append((tag, container, outer, doubted, is_bad, is_hard, content))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            bad += is_bad
+            hard += is_hard
+            articles += container >= 0 and tag == "article"
+            contents += content
+
         def pop(k: int) -> None:
-            nonlocal node, bad, articles, contents
+            nonlocal node, bad, hard, articles, contents, doubted
             close()
-            for tag, _, was_bad, was_content in stack[k:]:
+            for tag, container, _, _, was_bad, was_hard, was_content in stack[k:]:
+                open_tags[tag] -= 1
                 bad -= was_bad
+                hard -= was_hard
                 contents -= was_content
-                articles -= tag == "article"
+                articles -= container >= 0 and tag == "article"
+            if k < len(stack):
+                node, doubted = stack[k][2], stack[k][3]
             del stack[k:]
-            node = next((n for _, n, _, _ in reversed(stack) if n >= 0), 0)
+            while lists and lists[-1] >= k:
+                lists.pop()
 
         for m in _TOKEN.finditer(source):
-            if not bad and m.start() > at:
+            if m.start() > at:
                 piece = source[at : m.start()]
-                words.append(piece)
-                if piece and not piece.isspace():
-                    breaks = 0
-                if in_link:
-                    linked += len(piece)
+                if not bad:
+                    words.append(piece)
+                    if piece and not piece.isspace():
+                        breaks = 0
+                    if in_link:
+                        linked += len(piece)
+                elif not hard and not in_link:
+                    self.doubted[doubted][3][0] += len(piece.strip())
             at = m.end()
             tag = m["tag"]
             if tag is None:
@@ -179,7 +243,7 @@ class Page:
                 inline = tag in INLINE
                 if not inline and not bad:
                     close()
-                if stack:
+                if open_tags.get(tag):
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == tag:
                             pop(k)
@@ -199,44 +263,46 @@ class Page:
             if tag == "a":
                 in_link = True
             kind = _kind(tag, attrs.rstrip("/")) if attrs or tag in CONTAINERS or tag in BOILERPLATE_TAGS else None
-            is_bad = kind is not None and (kind.bad or kind.named and not contents) or tag == "header" and not articles
+            is_hard = kind is not None and kind.bad or tag == "header" and not articles
+            worth = 0.0 if kind is None or is_hard or m.start() in spared else kind.doubt or (0.0 if contents else kind.named)
+            is_bad = is_hard or worth > 0
             if tag in INLINE:
-                if is_bad and not attrs.endswith("/") or stack and any(s[0] == tag for s in stack):
+                if is_bad and not attrs.endswith("/") or open_tags.get(tag):
                     if is_bad and not bad:
                         close()
-                    stack.append((tag, -1, is_bad, False))
-                    bad += is_bad
+                    push(tag, -1, is_bad, is_hard, False, node)
+                    if worth and not hard:
+                        doubted = self._doubt(doubted, m.start(), worth)
                 continue
             if stack and stack[-1][0] == "p":
                 pop(len(stack) - 1)
             elif not bad:
                 close()
-            if tag == "li":
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol"):
-                        break
-                    if stack[k][0] == "li":
-                        pop(k)
-                        break
+            if tag == "li" and lists and stack[lists[-1]][0] == "li":
+                pop(lists[-1])
             if tag == "body":
                 pop(0)
             if tag in CONTAINERS and not is_bad and not bad:
+                path = f"{self.path[node]}>{kind.label}"
                 self.parent.append(node)
-                self.path.append(f"{self.path[node]}>{kind.label}" if len(self.path[node]) < 2000 else self.path[node])
+                self.path.append(path if len(path) <= LONGEST_PATH else "#" + blake2b(path.encode(), digest_size=16).hexdigest())
                 self.bonus.append(kind.bonus)
                 self.article.append(tag == "article")
                 self.main.append(kind.main)
+                push(tag, len(self.parent) - 1, False, False, kind.content, node)
                 node = len(self.parent) - 1
-                stack.append((tag, node, False, kind.content))
-                articles += tag == "article"
-                contents += kind.content
             elif is_bad or tag in CONTAINERS or bad:
-                stack.append((tag, -1, is_bad, False))
-                bad += is_bad
+                push(tag, -1, is_bad, is_hard, False, node)
+                if worth and not hard:
+                    doubted = self._doubt(doubted, m.start(), worth)
         if not bad and at < len(source):
             words.append(source[at:])
         close()
 
+    def _doubt(self, outer: int, at: int, worth: float) -> int:
+        self.doubted.append((outer, at, worth, [0]))
+        return len(self.doubted) - 1
+
     def scores(self) -> list[float]:
         own = [0.0] * len(self.parent)
         for node, text, linked in self.blocks:

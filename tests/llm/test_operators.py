@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -533,6 +534,79 @@ def test_html_extract_reads_marks_by_whole_attribute_names():
     assert text(f"<body><article>{body}<p>{math}</p></article></body>") == f"{long}\nLet x = 1 2 be."
 
 
+def generated_page(rng, site):
+    """A page of a site, and its main text."""
+    words = vocabulary(rng, 60)
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    want = []
+
+    def block(tag, n):
+        text = sentence(n)
+        want.append(f"{text} A & B")
+        return f"<{tag}>{text.replace(' ', rng.choice((' ', chr(10), ' <b></b>')), 3)} <i>A</i> &amp; <a href=/x>B</a></{tag}>"
+
+    def noise(n, *kinds):
+        return "".join(rng.choice(kinds).format(" ".join(f"<a href=/{i}>{sentence(2)}</a>" for i in range(3)), sentence(n)) for _ in range(rng.randint(0, 2)))
+
+    top = ("<nav>{0}</nav>", "<header><div>{1}</div></header>", "<div class='top-menu'>{0}</div>", "<div id=cookie-notice><p>{1}</p></div>", "<script>var x = '{1}';</script>", "<style>{1}</style>", "<form>{1}<input></form>")
+    low = ("<footer>{1}</footer>", "<div class=sidebar><p>{1}</p>{0}</div>", "<aside><p>{1}</p></aside>", "<div class='related-posts'>{0}</div>", "<section id=comments><h3>{1}</h3><p>{1}</p></section>", "<div class='ad-box'>{1}</div>")
+    head = block("h1", 4)
+    body = [block("p", rng.randint(15, 60)) for _ in range(rng.randint(3, 9))]
+    inner = head + body[0] + noise(6, "<div class='ad-box'>{1}</div>", "<aside>{1}</aside>", "<!-- {1} -->", "<figure hidden>{1}</figure>") + "".join(body[1:])
+    number = rng.randrange(1000)
+    wrapped = {
+        "article": f"<main><article id=post-{number}>{inner}</article></main>",
+        "content": f"<div class='wrap w{number}'><div class='post-content p-{number}'>{inner}</div></div>",
+        "plain": f"<div><div><div>{inner}</div></div></div>",
+        "sections": f"<div class=page><section>{head + body[0]}</section><section>{''.join(body[1:])}</section></div>",
+        "search": f"<div class='search-results'>{inner}</div>",
+        "discussion": f"<div id='discussion'><div class='thread comments'>{inner}</div></div>",
+        "table": f"<table><tr><td>{inner}</td></tr></table>",
+    }[site]
+    return f"<html><head><title>{sentence(3)}</title></head><body>{noise(5, *top)}{wrapped}{noise(5, *low)}</body></html>", "\n".join(want)
+
+
+def test_html_extract_finds_the_main_text_of_generated_pages(spark):
+    rng = random.Random(31)
+    rows, wants = [], {}
+    for i in range(420):
+        site = ("article", "content", "plain", "sections", "search", "discussion", "table")[i % 7]
+        page, wants[i] = generated_page(rng, site)
+        rows.append((i, f"http://{site}.example.com/{i}", page))
+    got = {r.id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wrong = [rows[i][1] for i in got if got[i] != wants[i]]
+    assert not wrong
+
+
+def test_html_extract_doubts_names_but_weighs_them():
+    long, short = ("long " * 300).strip(), "short text here"
+    sidebar, footer = "<div class=sidebar><p>" + "noise " * 30 + "</p></div>", "<footer>" + "noise " * 900 + "</footer>"
+    for attrs in ("class='search-results'", "id=discussion", "class='widget privacy'", "class=comments"):
+        for before in ("", f"<p>{short}</p>")[: 1 if "comments" in attrs else 2]:
+            text = html_extract.extract(f"<body>{before}<div {attrs}><p>{long}</p></div>{sidebar}{footer}</body>", None)
+            assert text.endswith(long) and "noise" not in text
+    comments = "<div class=comments>" + "<p>me too</p>" * 900 + "</div>"
+    assert html_extract.extract(f"<body><div><p>{long}</p></div>{comments}</body>", None) == long
+    assert html_extract.extract(f"<body><article><p>{long}</p>{comments}</article></body>", None) == long
+
+
+def test_html_extract_reads_deep_and_broken_pages_in_one_pass():
+    n = 30_000
+    start = time.process_time()
+    for page in ("<div>" * n + "text" + "</span>" * n, "<li><ul>" + "<div class=x>" * n + "<li>a</li>" * n, "<div class=search>" * n + "text" + "</p></b>" * n, "<div class='a b c d'>" * n + "x" + "</div>" * n):
+        assert html_extract.extract(page, None)
+    assert time.process_time() - start < 20
+    deep = html_extract.Page("<div>" * 400 + "<div class=a>x</div><div class=b>y</div>")
+    assert len(set(deep.path)) == len(deep.path) and max(map(len, deep.path)) <= html_extract.LONGEST_PATH + 10
+
+
+def test_html_extract_takes_the_first_of_two_paths_with_equally_many_votes(spark):
+    page = lambda css, n: f"<body><div class={css}><p>{'w ' * n}</p></div><div class={'b' if css == 'a' else 'a'}><p>{'v ' * (n - 1)}</p></div></body>"
+    df = spark.createDataFrame([(1, "http://t/1", page("a", 50)), (2, "http://t/2", page("b", 50)), (None, "http://t/2", None)], "page_id long, url string, html string")
+    first, again = ([(r.id, r.text) for r in html_extract.extract_pages(df).orderBy("id").collect()] for _ in range(2))
+    assert first == again and first[0] == (None, "") and len(first) == 3
+
+
 def test_bpe_is_exact_for_every_leaf_size():
     enc, rng = bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(4)
     for leaf in (1, 3, 17, 200):
