@@ -126,6 +126,14 @@ def test_substring_dedup(docs, texts, window, gram, hot):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
+@pytest.mark.parametrize("losers", [0, 1000])
+def test_drop_copies_by_either_join(spark, losers):
+    rows = [(1, "A", 1), (2, "a", 2), (None, "a", 3), (3, "b", 4), (3, "b", 5), (None, None, 6), (4, "", 7), (5, "c", 8), (5, "d", 9)]
+    out = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, kept int"), broadcast_losers=losers)
+    got = sorted((r.doc_id, r.text) for r in out.collect())
+    assert got == [(2, "a"), (3, "b"), (4, ""), (5, "c"), (5, "d")] and out.columns == ["doc_id", "text", "kept"]
+
+
 def test_substring_dedup_edges(spark, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
     long = " ".join(map(str, range(60)))
@@ -773,6 +781,18 @@ def test_sharding(docs, texts, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_sharding_of_null_and_repeated_ids_and_few_groups(spark):
+    rows = [(None, "a"), (None, "b"), (None, "b"), (5, "c"), (5, "c"), (5, "d"), (10**15, "e"), (-(10**15), None), (7, "")]
+    out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    assert Counter((r.id, r.size) for r in out) == Counter((i, len(t or "") + 1) for i, t in rows)
+    by_shard = defaultdict(list)
+    for r in out:
+        by_shard[r.shard].append(r)
+    assert all(0 <= k < 16 and sorted(r.slot for r in rs) == list(range(len(rs))) for k, rs in by_shard.items())
+    for rs in by_shard.values():
+        assert [r.id is not None for r in sorted(rs, key=lambda r: r.slot)] == sorted(r.id is not None for r in rs)
+
+
 def test_minimax_is_smallest():
     rng = random.Random(7)
     for _ in range(100):
@@ -865,6 +885,35 @@ def test_top_k_meets_only_trees_within_reach(spark):
 # ---- quality
 
 
+def test_quality_fit_is_bounded_in_bytes(spark, monkeypatch):
+    rng = random.Random(3)
+    words = vocabulary(rng, 80)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda slot, bounds, grade: seen.append((len(slot), len(grade))))
+    for most in (20_000, 1 << 20, 0):
+        quality.train(docs, labels, sample_bytes=most)
+        assert 4 * seen[-1][0] <= most
+    assert 0 < seen[0][1] < seen[1][1] == 200 and seen[2][1] == 0
+
+
+def test_loss_slopes_are_differences():
+    rng = np.random.default_rng(4)
+    grade, score, weight = rng.integers(0, 3, 50), rng.normal(0, 2, 50), np.full(50, 1 / 50)
+    thresholds = np.array([-0.7, 1.1])
+    _, by_score, by_threshold = quality._loss(score, grade, thresholds, weight)
+    step = 1e-6
+    for i in range(50):
+        moved = score.copy()
+        moved[i] += step
+        assert abs((quality._loss(moved, grade, thresholds, weight)[0] - quality._loss(score, grade, thresholds, weight)[0]) / step - by_score[i]) < 1e-4
+    for k in range(2):
+        moved = thresholds.copy()
+        moved[k] += step
+        assert abs((quality._loss(score, grade, moved, weight)[0] - quality._loss(score, grade, thresholds, weight)[0]) / step - by_threshold[k]) < 1e-4
+
+
 def test_quality(spark):
     rng = random.Random(10)
     words, rude = vocabulary(rng, 150), ["rudeone", "rudetwo"]
