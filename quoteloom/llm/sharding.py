@@ -205,15 +205,15 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     rows, groups = group_sizes(df, id_col, text_col)
     cuts = shard_cuts(groups, shards)
     shard = sum((F.when(F.col("first") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    placed = rows.join(groups.select("digest", shard.alias("shard")), "digest").select("id", "size", "crc", "shard")
-    ends = rows.agg(F.count("*").alias("n"), F.min(F.col("id").cast("double")).alias("low"), F.max(F.col("id").cast("double")).alias("high")).first()
-    many = max(1, ends["n"] // ROWS_A_BLOCK, shuffle_partitions(df.sparkSession) if ends["n"] > 1000 else 1)
-    width = max(1.0, ((ends["high"] or 0) - (ends["low"] or 0) + 1) / many)
-    block = F.coalesce(F.floor((F.col("id").cast("double") - F.lit(ends["low"])) / width).cast("long"), F.lit(-1).cast("long"))
-    placed = cut(placed.withColumn("block", block))
+    placed = rows.join(groups.select("digest", shard.alias("shard")), "digest").select("id", "size", "crc", "shard", F.monotonically_increasing_id().alias("tie"))
+    placed = cut(placed)
+    many = max(1, -(-placed.count() // ROWS_A_BLOCK), shuffle_partitions(df.sparkSession))
+    # blocks of neighbouring rows of about equal numbers, by sampled quantiles; the tie splits rows that share an id
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    placed = cut(placed.repartitionByRange(many, "shard", *order).withColumn("block", F.spark_partition_id()))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = counts.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
-    numbered = placed.withColumn("rank", F.row_number().over(W.partitionBy("shard", "block").orderBy(F.col("id").asc_nulls_first())))
+    numbered = placed.withColumn("rank", F.row_number().over(W.partitionBy("shard", "block").orderBy(*order)))
     out = numbered.join(before, ["shard", "block"])
     return out.select("id", "size", "crc", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
 
