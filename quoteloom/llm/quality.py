@@ -8,8 +8,9 @@ its words without punctuation in lower case, their beginnings, its symbol and
 capital shapes, how its lines are cut, and how much it repeats itself.
 
 The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hash of
-the id, so its cost doesn't grow with the corpus; what reaches the driver are
-these rows' hashed features.  Training is accelerated proximal gradient descent
+the id, and of these at most as many, in the same order, as have ``SAMPLE_BYTES``
+of hashed features, which is what reaches the driver; so its cost doesn't grow
+with the corpus or with long texts.  Training is accelerated proximal gradient descent
 with an L1 penalty, which clears the weights of words that say nothing.  Every
 row of the corpus is then scored whole, in one pass without a shuffle; the
 model (a few MB, fixed by ``SLOTS``) goes along with the tasks.
@@ -23,12 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, small_batches, texts_of
 from .wordhash import U64, Words, blocks, mix
 
 SAMPLE = 8_000
+SAMPLE_BYTES = 64 << 20
 SLOTS = 1 << 18
 GRADES = 3
 PREFIXES = (4, 5)
@@ -150,8 +153,8 @@ def fit(slot: np.ndarray, bounds: np.ndarray, grade: np.ndarray, slots: int = SL
     return Model(weights, _thresholds(free))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the labelled rows with the smallest hashes of the id, ``sample`` at most.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on the labelled rows with the smallest hashes of the id, ``sample`` and ``sample_bytes`` of features at most.
 
     Labels that are null, ids without a text and ids labelled twice (the first
     pair in order counts) are settled before the sample is drawn.
@@ -160,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     graded = graded.groupBy(id_col).agg(F.min(F.struct("quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))).alias("l"))
     grade = F.when(F.col("l.quality") == 0, 0).when(F.col("l.toxic") != 0, 1).otherwise(2)
     chosen = graded.select(F.col(id_col).alias("_id"), grade.alias("grade")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    joined = docs.join(F.broadcast(cut(chosen)), docs[id_col] == F.col("_id")).select(F.col(text_col).cast("string").alias("text"), "grade")
+    joined = docs.join(F.broadcast(cut(chosen)), docs[id_col] == F.col("_id")).select(F.col(text_col).cast("string").alias("text"), "grade", F.xxhash64("_id").alias("h"), F.monotonically_increasing_id().alias("row"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 for _, block in blocks(texts_of(part, "text")):
                     slot, bounds = features(block)
                     lists += [slot[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())], ["grade", "slots"])
+                packed = pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("grade"), part.column("h"), part.column("row"), packed], ["grade", "h", "row", "slots"])
 
-    rows = arrow_map(joined, "grade int, slots binary", step).collect()
+    drawn = cut(arrow_map(joined, "grade int, h bigint, row bigint, slots binary", step))
+    so_far = F.sum(F.octet_length("slots")).over(W.orderBy("h", "row"))  # over the sample's sizes only
+    fitting = cut(drawn.select("row", so_far.alias("bytes")).where(F.col("bytes") <= sample_bytes).select(F.col("row").alias("_row")))
+    rows = drawn.join(F.broadcast(fitting), F.col("row") == F.col("_row"), "left_semi").select("grade", "slots").collect()
     rows.sort(key=lambda r: (r["grade"], bytes(r["slots"])))
     lists = [np.frombuffer(r["slots"], "<i4") for r in rows]
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
