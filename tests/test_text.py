@@ -61,14 +61,28 @@ def test_token_set(spark):
     assert df.first().t == 100.0
 
 
-def test_players():
-    r = players.replacements
-    assert r({"Luka Dončić": 3, "L. Dončić": 2, "Luka Doncic": 1}) == {"Luka Doncic": "Luka Dončić", "L. Dončić": "Luka Dončić"}
-    assert r({"N. Jović": 1, "Nikola Jović": 2, "Nemanja Jović": 2}) == {}  # two given names fit
-    assert r({"A. J. Smith": 1, "Aaron Smith": 4}) == {}  # double initials don't resolve
-    assert r({"James L.": 1, "LeBron James": 2}) == {"James L.": "LeBron James"}
-    assert r({"Ann Lee": 1, "Ann Lee Jr.": 5})["Ann Lee"] == "Ann Lee Jr."
-    assert r({}) == {}
+def test_players(spark):
+    groups = [
+        ({"Luka Dončić": 3, "L. Dončić": 2, "Luka Doncic": 1}, {"Luka Doncic": "Luka Dončić", "L. Dončić": "Luka Dončić"}),
+        ({"N. Jović": 1, "Nikola Jović": 2, "Nemanja Jović": 2}, {}),  # two given names fit
+        ({"A. J. Smith": 1, "Aaron Smith": 4}, {}),  # double initials don't resolve
+        ({"A. Smith": 2, "A. J. Smith": 3}, {}),  # nor does one initial to two
+        ({"James L.": 1, "LeBron James": 2}, {"James L.": "LeBron James"}),
+        ({"James Le": 1, "LeBron James": 2}, {}),  # not an abbreviation
+        ({"Ann Lee": 1, "Ann Lee Jr.": 5}, {"Ann Lee": "Ann Lee Jr."}),
+        ({"J. Doe": 1, "Jon Doe": 2, "Jonathan Doe": 5}, {"J. Doe": "Jonathan Doe", "Jon Doe": "Jonathan Doe"}),
+        ({"Aleksandar Ivić": 4, "Aleksandr Ivić": 1, "A. Ivić": 1}, {"Aleksandr Ivić": "Aleksandar Ivić"}),  # the initial fits two given names
+        ({"Marko Babić": 2, "Mario Babić": 2}, {}),
+        ({"Jean-Marc Roux": 1, "Jean Marc Roux": 1, "jean marc roux": 1}, {"Jean Marc Roux": "Jean-Marc Roux", "jean marc roux": "Jean-Marc Roux"}),
+        ({"Tim": 3, "Tim Tim": 1}, {}),
+        ({"???": 2, "!!!": 1}, {}),
+    ]
+    rows = [(f"m{i}", name, k) for i, (counts, _) in enumerate(groups) for name, n in counts.items() for k in range(n)]
+    found = {}
+    for r in players.player_replacements(spark.createDataFrame(rows, "match_id string, player_name string, seq int")).collect():
+        found.setdefault(r.match_id, {})[r.name] = r.replacement
+    for i, (counts, want) in enumerate(groups):
+        assert found.get(f"m{i}", {}) == want, counts
 
 
 def test_resolve_players_in_spark(spark):
