@@ -39,7 +39,7 @@ def with_teams(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFram
     known = resolve_labels(labels, teams, aliases)
     for side in ("home", "away"):
         mine = known.select(F.col("sport").alias("_s"), F.col("bookmaker_id").alias("_b"), F.col("label").alias("_l"), F.col("team_id").alias(f"{side}_id"), F.col("team_name").alias("_n"))
-        on = (F.col("sport") == F.col("_s")) & (F.col("bookmaker_id") == F.col("_b")) & (F.col(f"{side}_team") == F.col("_l"))
+        on = (F.col("sport") == F.col("_s")) & F.col("bookmaker_id").eqNullSafe(F.col("_b")) & (F.col(f"{side}_team") == F.col("_l"))
         raw = raw.join(mine, on, "left").withColumn(f"{side}_name", F.coalesce("_n", F.trim(f"{side}_team"))).drop("_s", "_b", "_l", "_n")
     return raw
 
@@ -96,17 +96,28 @@ def forget_alias(aliases: DataFrame, sport: str, alias: str, bookmaker_id: str =
     return aliases.where(~(match & (F.lit(True) if source is None else F.col("source") == source)))
 
 
-def create_teams(teams: DataFrame, names: DataFrame) -> DataFrame:
-    """U-11: teams not yet known by normal form, numbered on from the largest id in the order of ``seq``.  ``names``: ``sport, display_name, seq``.
+def numbered(rows: DataFrame, order: list[str], name: str, existing: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with a column ``name``: whole numbers without gaps, in the given order, on from the largest ``id_col`` of ``existing``.
 
-    Only the new names are numbered, by a running sum over their sports' blocks.
+    Rows are dealt into ranges of the order; a range's rows are numbered by
+    themselves, and what the ranges before it hold is a sum over one row a range.
     """
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_range").alias("_r"), (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    out = dealt.join(F.broadcast(before), F.col("_range") == F.col("_r")).crossJoin(F.broadcast(top))  # one row a partition, and one row
+    return out.withColumn(name, (F.col("_top") + F.col("_before") + place).cast("long")).drop("_range", "_r", "_before", "_top")
+
+
+def create_teams(teams: DataFrame, names: DataFrame) -> DataFrame:
+    """U-11: teams not yet known by normal form, numbered on from the largest id in the order of ``seq``.  ``names``: ``sport, display_name, seq``."""
     known = teams.select(F.col("sport").alias("k_sport"), identity_text(F.col("display_name")).alias("k_key"))
     fresh = names.withColumn("key", identity_text(F.col("display_name"))).join(known, (F.col("sport") == F.col("k_sport")) & (F.col("key") == F.col("k_key")), "left_anti")
     one = fresh.groupBy("sport", "key").agg(F.min_by(F.struct("display_name", "seq"), "seq").alias("n")).select("sport", "n.display_name", "n.seq")
-    top = teams.agg(F.coalesce(F.max("team_id"), F.lit(0)).alias("top"))
-    numbered = one.withColumn("number", F.row_number().over(W.orderBy("seq", "sport", "display_name")))
-    return numbered.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("number")).cast("long").alias("team_id"), "sport", "display_name", F.lit(True).alias("is_active"), F.lit(None).cast("long").alias("merged_into"))
+    with_ids = numbered(one, ["seq", "sport", "display_name"], "team_id", teams, "team_id")
+    return with_ids.select("team_id", "sport", "display_name", F.lit(True).alias("is_active"), F.lit(None).cast("long").alias("merged_into"))
 
 
 def follow_merges(edges: DataFrame) -> DataFrame:
@@ -125,9 +136,11 @@ def follow_merges(edges: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder (a local one only where none is set)."""
+    """Cut the lineage in the cluster's checkpoint folder; a local one is set only where none is and the master is local."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint(eager=True)
 
@@ -144,9 +157,10 @@ def merge_teams(teams: DataFrame, aliases: DataFrame, mapping: DataFrame) -> tup
     first = W.partitionBy("sport", "normalized_alias", "bookmaker_id").orderBy("moved", "alias_id")
     kept = moved.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "moved")
     gone = teams.join(m, teams["team_id"] == m["source_id"])
-    named = gone.select((F.col("source_id") + 1_000_000).alias("alias_id"), "sport", identity_text(F.col("display_name")).alias("normalized_alias"), F.lit("").alias("bookmaker_id"), F.lit("merge").alias("source"), F.col("target_id").alias("team_id"))
+    named = gone.select("sport", identity_text(F.col("display_name")).alias("normalized_alias"), F.lit("").alias("bookmaker_id"), F.lit("merge").alias("source"), F.col("target_id").alias("team_id"))
     key = ["sport", "normalized_alias", "bookmaker_id"]
-    with_names = kept.unionByName(named.join(kept.select(*key), key, "left_anti").select(*kept.columns))
+    missing = named.join(kept.select(*key), key, "left_anti").groupBy(*key, "source").agg(F.min("team_id").alias("team_id"))
+    with_names = kept.unionByName(numbered(missing, key, "alias_id", aliases, "alias_id").select(*kept.columns))
     after = teams.join(m, teams["team_id"] == m["source_id"], "left").select(*(c for c in teams.columns if c not in ("is_active", "merged_into")), (F.col("is_active") & F.col("target_id").isNull()).alias("is_active"), F.coalesce("target_id", "merged_into").alias("merged_into"))
     return after, with_names
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.odds import match_id
 from ..functions.text import identity_text, market_type, matchup
+from .players import known_names, resolve_players
 from .registry import search_candidates, with_teams
 
 RAW = ("seq", "bookmaker_id", "league_id", "sport", "home_team", "away_team", "market_type", "player_name", "threshold", "over_odds", "under_odds", "start_time")
@@ -129,18 +130,27 @@ def autocreate_names(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> Da
 
 
 def normalized_odds(resolved: DataFrame, votes: DataFrame) -> DataFrame:
-    """Pass 6 (J-18): final quotes with match id, voted orientation and canonical market; quotes with unknown teams drop out."""
-    key = [F.col("sport"), F.col("start_time"), F.least("home_id", "away_id").alias("low_id"), F.greatest("home_id", "away_id").alias("high_id")]
-    base = resolved.where(F.col("start_time").isNotNull() & both_known()).select("*", *key[2:])
+    """Pass 6 (J-18, C-05, C-12, C-13): final quotes with match id, voted orientation, canonical market and players' known names; quotes with unknown teams drop out."""
+    sides = [F.least("home_id", "away_id").alias("low_id"), F.greatest("home_id", "away_id").alias("high_id")]
+    base = known_names(resolved.where(F.col("start_time").isNotNull() & both_known()).select("*", *sides))
     v = votes.select("sport", "start_time", "low_id", "high_id", F.col("home_id").alias("h"), F.col("away_id").alias("a"), F.col("league_id").alias("voted"))
     out = base.join(v, ["sport", "start_time", "low_id", "high_id"])
+    straight = F.col("h") == F.col("home_id")
     return out.select(
-        match_id(F.col("sport"), F.col("start_time"), F.col("h"), F.col("a")).alias("match_id"), "bookmaker_id", F.col("voted").alias("league_id"), "sport", F.col("h").alias("home_team_id"), F.col("a").alias("away_team_id"),
-        F.when(F.col("h") == F.col("home_id"), F.col("home_name")).otherwise(F.col("away_name")).alias("home_team"), F.when(F.col("h") == F.col("home_id"), F.col("away_name")).otherwise(F.col("home_name")).alias("away_team"),
+        match_id(F.col("sport"), F.col("start_time"), F.col("h"), F.col("a")).alias("match_id"), "bookmaker_id", F.col("voted").alias("league_id"), "sport",
+        F.col("h").alias("home_team_id"), F.col("a").alias("away_team_id"),
+        F.when(straight, F.col("home_name")).otherwise(F.col("away_name")).alias("home_team"), F.when(straight, F.col("away_name")).otherwise(F.col("home_name")).alias("away_team"),
         market_type(F.col("market_type")).alias("market_type"), "player_name", "threshold", "over_odds", "under_odds", "start_time", "seq",
     )
 
 
+def contextual_players(resolved: DataFrame) -> DataFrame:
+    """Pass 4: quotes with the players' names of their match; a quote's match is that of its own orientation."""
+    own = match_id(F.col("sport"), F.col("start_time"), F.col("home_id"), F.col("away_id"))
+    placed = resolved.withColumn("match_id", F.when(F.col("start_time").isNotNull() & both_known(), own))
+    return resolve_players(placed).drop("match_id")
+
+
 def review_cases(resolved: DataFrame, votes: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame:
     """Pass 7: one case per unknown label, bookmaker, slot and known counterpart, the first in order (W-05).
 

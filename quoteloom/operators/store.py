@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,41 @@ def upsert_latest(rows: DataFrame, key: tuple[str, ...] = ODDS_KEY, order: tuple
     return replaced.unionByName(rows.where(~whole))
 
 
+def replace_rows(table: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
+    """U-01 to U-03: the table after whole rows are replaced by key; of several changes of one key the last by ``order`` counts."""
+    rest = [c for c in table.columns if c not in key]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
+    return table.join(last.select(*key), key, "left_anti").select(*table.columns).unionByName(last.select(*table.columns))
+
+
+def upsert_bookmakers(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """U-01: a source that is written again is active again.  ``changes``: ``id, name, website_url, seq``."""
+    return replace_rows(table, changes.withColumn("is_active", F.lit(True)), ["id"], "seq")
+
+
+def upsert_leagues(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """U-02.  ``changes``: ``id, name, sport, country, seq``."""
+    return replace_rows(table, changes, ["id"], "seq")
+
+
+def upsert_matches(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """U-03: team ids of zero or less count as unknown."""
+    known = {c: F.when(F.col(c) > 0, F.col(c)) for c in ("home_team_id", "away_team_id")}
+    return replace_rows(table, changes.withColumns(known), ["id"], "seq")
+
+
+def first_of_match(quotes: DataFrame) -> DataFrame:
+    """F-22: each match as its first quote of the cycle names it: ``id, league_id, sport, home_team_id, away_team_id, home_team, away_team, start_time, status, seq``."""
+    rest = ("league_id", "sport", "home_team_id", "away_team_id", "home_team", "away_team", "start_time", "seq")
+    first = quotes.groupBy(F.col("match_id").alias("id")).agg(F.min_by(F.struct(*rest), "seq").alias("r"))
+    return first.select("id", *(f"r.{c}" for c in rest[:-1]), F.lit("upcoming").alias("status"), "r.seq")
+
+
+def read_notifications(rows: DataFrame, unread_only: bool = False, limit: int = 50) -> DataFrame:
+    """D-14, H-07: notifications, the newest first."""
+    return (rows.where(~F.col("is_read")) if unread_only else rows).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
 def keep_max_id(rows: DataFrame, key: tuple[str, ...], id_col: str) -> DataFrame:
     """F-13, W-06: of rows with the same key (nulls are equal) the one with the largest id."""
     rest = [c for c in rows.columns if c not in key]
@@ -101,6 +137,9 @@ def review_history(cases: DataFrame, history: DataFrame, key: tuple[str, ...], s
 class SnapshotStore:
     """Parquet tables below one folder, on any file system Spark can write."""
 
+    #: U-06: tables of which every cycle's rows stay to be read.
+    HISTORIES = frozenset({"odds", "unresolved", "reviews", "notifications", "benchmark"})
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -108,28 +147,48 @@ class SnapshotStore:
         return "/".join((self.root, *parts))
 
     def publish(self, stamp: str, **tables: DataFrame) -> None:
-        """Write every table of a cycle (an empty one too), append the odds to the history, then move the pointer."""
+        """Write every table of a cycle (an empty one too) and the odds' part of the history, then move the pointer.
+
+        Every write goes to a folder that the stamp names and overwrites it, so
+        a cycle that is run again leaves what its first run would have left.
+        """
         name = stamp.replace(":", "-")
         for table, df in tables.items():
             df.withColumn("scraped_at", F.lit(stamp)).write.mode("overwrite").parquet(self._path("snapshots", name, table))
-        if "odds" in tables:
-            tables["odds"].withColumn("scraped_at", F.lit(stamp)).write.mode("append").parquet(self._path("odds_history"))
+        for table in self.HISTORIES & set(tables):
+            self.spark.read.parquet(self._path("snapshots", name, table)).write.mode("overwrite").parquet(self._path(f"{table}_history", f"cycle={name}"))
         self.spark.createDataFrame([(1, stamp, name)], "id int, current_snapshot_at string, folder string").coalesce(1).write.mode("overwrite").parquet(self._path("scrape_state", name))
-        self.spark.createDataFrame([(json.dumps({"current": name}),)], "value string").coalesce(1).write.mode("append").text(self._path("pointer"))
+        self.point_to(name)
 
-    def pointer(self) -> str | None:
-        """The folder of the current snapshot: the greatest one ever pointed to."""
+    def point_to(self, name: str) -> None:
+        """U-05: make a snapshot the current one, be it older or newer than the one before."""
+        turn = (self._pointers().agg(F.max("turn")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(json.dumps({"turn": turn, "current": name}),)], "value string").coalesce(1).write.mode("append").text(self._path("pointer"))
+
+    def _pointers(self) -> DataFrame:
+        """``turn, current``: one row each time the pointer was set."""
+        rows = self._read("text", "pointer")
+        if rows is None:
+            return self.spark.createDataFrame([], "turn long, current string")
+        return rows.select(F.get_json_object("value", "$.turn").cast("long").alias("turn"), F.get_json_object("value", "$.current").alias("current"))
+
+    def _read(self, kind: str, *parts: str) -> DataFrame | None:
         try:
-            rows = self.spark.read.text(self._path("pointer"))
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(error):
+            return self.spark.read.format(kind).load(self._path(*parts))
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return rows.agg(F.max(F.get_json_object("value", "$.current"))).first()[0]
+
+    def pointer(self) -> str | None:
+        """The folder of the current snapshot: the one pointed to last."""
+        return self._pointers().agg(F.max_by("current", "turn")).first()[0]
 
     def current(self, table: str) -> DataFrame | None:
+        """A table of the current snapshot; None if there is no snapshot, or none of that table."""
         name = self.pointer()
-        return None if name is None else self.spark.read.parquet(self._path("snapshots", name, table))
+        return None if name is None else self._read("parquet", "snapshots", name, table)
 
-    def history(self) -> DataFrame:
-        return self.spark.read.parquet(self._path("odds_history"))
+    def history(self, table: str = "odds") -> DataFrame | None:
+        found = self._read("parquet", f"{table}_history")
+        return None if found is None else found.drop("cycle")

@@ -14,7 +14,11 @@ from ..streaming import cycle
 
 def _shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "/tmp/checkpoints"
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
