@@ -119,6 +119,14 @@ def with_canonical(teams: DataFrame, aliases: DataFrame) -> DataFrame:
     return aliases.unionByName(numbered(missing, key, "alias_id", aliases, "alias_id").select(*aliases.columns))
 
 
+def case_history(cases: DataFrame, like: dict[str, object], snapshot: str) -> DataFrame:
+    """D-07: suggested and automatic aliases among the cases that agree with all columns of ``like`` (nulls with nulls), no later than the snapshot."""
+    same = F.col("review_kind").isin("alias_suggestion", "auto_alias") & (F.col("scraped_at") <= snapshot)
+    for column, value in like.items():
+        same &= F.col(column).eqNullSafe(F.lit(value))
+    return cases.where(same)
+
+
 def collapse_candidates(candidates: Column) -> Column:
     """F-18: one candidate a team, with its best score and, where that one has none, another's matched alias; by score, then name."""
     ids = F.array_distinct(F.transform(candidates, lambda c: c["team_id"]))

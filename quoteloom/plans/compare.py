@@ -153,7 +153,7 @@ def stake_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stake_sql(mode: str, sa: str, sb: str, where: str, label: str) -> str:
     return f"""with {GAPS}{ARBS},
 d as (select *, gap > 0 and middle_profit_margin is not null as mid, round(20.0 * (odds_b / (odds_a + odds_b)), 4) as a, round(20.0 - 20.0 * (odds_b / (odds_a + odds_b)), 4) as b
-      from found where odds_a > 0 and odds_b > 0 and profit_margin is not null and (gap > 30 or gap = 0)),
+      from found where odds_a > 0 and odds_b > 0 and profit_margin is not null),
 s as (select *, round({sa}, 4) as stake_a, round({sb}, 4) as stake_b, {sa} as ra, {sb} as rb from d where {where}),
 p as (select *, round(ra * odds_a - round(ra + rb, 4), 4) as profit_a, round(rb * odds_b - round(ra + rb, 4), 4) as profit_b, case when mid then round(ra * odds_a + rb * odds_b - round(ra + rb, 4), 4) end as middle_profit from s)
 select match_id, bookmaker_a_id, bookmaker_b_id, threshold_a, threshold_b, odds_a, odds_b, round(stake_a, 3) as stake_a, round(stake_b, 3) as stake_b, round(profit_a, 3) as profit_a, round(profit_b, 3) as profit_b,

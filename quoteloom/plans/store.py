@@ -119,7 +119,7 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.registry import union_all
 
     odds = domain.odds(spark, sf_dir)
-    parts = [odds.where(F.col("bookmaker_id") == b).select("bookmaker_id", "market_type", "threshold") for b in ("b0", "b3", "b5")]
+    parts = [odds.where(F.col("bookmaker_id") == f"b{n}").select("bookmaker_id", "market_type", "threshold") for n in range(8)]
     return union_all(parts).groupBy("bookmaker_id", "market_type").agg(F.count("*").alias("n"), F.sum("threshold").alias("total"))
 
 
@@ -193,8 +193,8 @@ select 1 from newest w where w.match_id = s.match_id and w.bookmaker_id = s.book
 (select count(*) from matches) as matches, (select count(*) from bookmakers where is_active) as active_bookmakers, (select count(*) from supplier) as discrepancies""",
     "per_source_counts": f"with {ODDS_SQL} select bookmaker_id, count(*) as odds_count, count(distinct match_id) as matches from odds group by 1",
     "cycle_benchmark": f"""with {ODDS_SQL},
-c as (select bookmaker_id, count(*) as odds_count, count(distinct match_id) as matches from odds where bookmaker_id <> 'b3' group by 1),
-t as (select 'b' || (o_custkey % 10) as bookmaker_id, sum(trunc(o_totalprice)::bigint)::bigint as duration_ms, sum(o_orderkey % 50)::bigint as raw_items, count(*) as leagues_attempted, count(*) filter (o_orderstatus = 'P') as leagues_failed from orders where o_custkey % 10 < 9 group by 1)
+c as (select bookmaker_id, count(*) as odds_count, count(distinct match_id) as matches from odds group by 1),
+t as (select 'b' || (o_custkey % 10) as bookmaker_id, sum(trunc(o_totalprice)::bigint)::bigint as duration_ms, sum(o_orderkey % 50)::bigint as raw_items, count(*) as leagues_attempted, count(*) filter (o_orderstatus = 'P') as leagues_failed from orders group by 1)
 select bookmaker_id, coalesce(duration_ms, 0) as duration_ms, coalesce(raw_items, 0) as raw_items, coalesce(leagues_attempted, 0) as leagues_attempted, coalesce(leagues_failed, 0) as leagues_failed, coalesce(odds_count, 0) as odds_count, coalesce(matches, 0) as matches,
 round(coalesce(leagues_failed / leagues_attempted, 0), 4) as failure_rate from t full join c using (bookmaker_id)""",
     "matches_snapshot_semi": f"{_LATEST}, {MATCHES_SQL}, {LEAGUES_SQL} select m.*, l.name as league_name from matches m left join leagues l on m.league_id = l.id where exists (select 1 from newest w where w.match_id = m.id)",
@@ -215,10 +215,10 @@ select k.team_id, k.event_type, books, declined from (select distinct team_id, e
 moved as (select coalesce(target_id, match_id) as match_id, s.* exclude (match_id) from snap s left join m on s.match_id = m.source_id),
 r as (select *, row_number() over (partition by match_id, bookmaker_id, market_type, player_name, threshold order by seq desc) as n from moved)
 select match_id, count(*) as n, sum(seq)::bigint as ids from r where n = 1 or match_id not in (select target_id from m) group by 1""",
-    "union_sources": f"with {ODDS_SQL} select bookmaker_id, market_type, count(*) as n, sum(threshold) as total from odds where bookmaker_id in ('b0', 'b3', 'b5') group by 1, 2",
+    "union_sources": f"with {ODDS_SQL} select bookmaker_id, market_type, count(*) as n, sum(threshold) as total from odds group by 1, 2",
     "distinct_bookmakers": f"with {ODDS_SQL} select distinct match_id, bookmaker_id from odds",
     "missing_ids_anti": "select p_partkey from part except select l_partkey from lineitem where l_returnflag = 'A' and l_quantity > 30",
-    "highlight_offers": f"""with {_GAPS.replace('from lineitem join part on l_partkey = p_partkey', "from lineitem join part on l_partkey = p_partkey where l_partkey in (3, 4, 5)")}{_ARBS},
+    "highlight_offers": f"""with {_GAPS}{_ARBS},
 d as (select * from found where gap = 0 or threshold_b - threshold_a >= 40),
 ends as (select match_id, bookmaker_a_id as b, threshold_a as t from d union select match_id, bookmaker_b_id, threshold_b from d)
 select o.match_id, e.b is not null as highlighted, count(*) as n from odds o left join ends e on e.match_id = o.match_id and e.b = o.bookmaker_id and e.t = o.threshold group by 1, 2""",

@@ -100,6 +100,29 @@ _HYPHENS = r"trim(regexp_replace(regexp_replace(replace(lower(strip_accents({x})
 _KEPT = "list_filter(list_transform(string_split(" + _HYPHENS + ", ' '), lambda w: trim(w, '-')), lambda w: w <> '')"
 _SEARCH = r"trim(regexp_replace(lower(strip_accents({x})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
+_PAIRS = """names as (select distinct p_name from part),
+pairs as (select p_name as a, lead(p_name) over (partition by p_name[1] order by p_name) as b from names qualify b is not null)"""
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    """C-17 of two columns: the table of common subsequences, a row for each character of ``a``, by nested reductions."""
+    first = f"list_transform(range(0, length({b}) + 1), lambda i: 0::bigint)"
+    letters = f"list_transform(string_split({a}, ''), lambda ch: [unicode(ch)::bigint])"
+    places = f"list_prepend([0::bigint], list_transform(range(1, length({b}) + 1), lambda i: [i]))"
+    best = f"greatest(above[i[1]] + (case when unicode({b}[i[1]:i[1]]) = ch[1] then 1 else 0 end), above[i[1] + 1], acc[-1])"
+    table = f"list_reduce(list_prepend({first}, {letters}), lambda above, ch: list_reduce({places}, lambda acc, i: list_append(acc, {best})))"
+    return f"(case when length({a}) + length({b}) = 0 then 100.0 else 200.0 * {table}[-1] / (length({a}) + length({b})) end)"
+
+
+def _tokens_sql(x: str) -> str:
+    return rf"list_sort(list_filter(string_split_regex(trim({x}), '\s+'), lambda w: w <> ''))"
+
+
+_SETS = f"""{_PAIRS},
+words as (select a, b, list_sort(list_distinct({_tokens_sql('a')})) as l, list_sort(list_distinct({_tokens_sql('b')})) as r from pairs),
+parts as (select *, list_filter(l, lambda x: list_contains(r, x)) as both_, list_filter(l, lambda x: not list_contains(r, x)) as only_l, list_filter(r, lambda x: not list_contains(l, x)) as only_r from words),
+said as (select *, array_to_string(both_, ' ') as s, trim(array_to_string(both_, ' ') || ' ' || array_to_string(only_l, ' ')) as wl, trim(array_to_string(both_, ' ') || ' ' || array_to_string(only_r, ' ')) as wr from parts)"""
+
 ORACLES = {
     "text_identity": f"select doc_id, md5({IDENTITY.format(x='text')}) as identity from documents",
     "text_tokens": f"select doc_id, len(list_filter(string_split({IDENTITY.format(x='text')}, ' '), lambda w: w <> ''))::int as words, len({_KEPT.format(x='text')})::int as hyphenated from documents",
@@ -148,5 +171,17 @@ walk as (
   select match_id, name, n, best as here from c join best using (match_id, key)
   union all select w.match_id, w.name, w.n, b.better from walk w join better b on b.match_id = w.match_id and b.name = w.here)
 select match_id, here as player_name, sum(n)::bigint as n from walk w where not exists (select 1 from better b where b.match_id = w.match_id and b.name = w.here) group by 1, 2""",
+    "fuzzy_ratio": f"with {_PAIRS} select a, b, round({_ratio_sql('a', 'b')}, 4) as score from pairs",
+    "fuzzy_token_sort": f"""with {_PAIRS}, t as (select a, b, array_to_string({_tokens_sql('a')}, ' ') as x, array_to_string({_tokens_sql('b')}, ' ') as y from pairs)
+select a, b, round({_ratio_sql('x', 'y')}, 4) as score from t""",
+    "fuzzy_token_set": f"""with {_SETS}
+select a, b, case when len(l) = 0 or len(r) = 0 then 0.0 when len(both_) > 0 and (len(only_l) = 0 or len(only_r) = 0) then 100.0
+                  else round(greatest({_ratio_sql('wl', 'wr')}, case when len(both_) > 0 then greatest({_ratio_sql('s', 'wl')}, {_ratio_sql('s', 'wr')}) else 0.0 end), 4) end as score
+from said""",
+    "fuzzy_partial": f"""with {_PAIRS},
+sized as (select a, b, case when length(a) > length(b) then b else a end as x, case when length(a) > length(b) then a else b end as y from pairs),
+placed as (select *, unnest(range(2 - length(x), length(y) + 1)) as i from sized),
+cut as (select a, b, x, substr(y, greatest(i, 1), least(i + length(x), length(y) + 1) - greatest(i, 1)) as y from placed)
+select a, b, round(max({_ratio_sql('x', 'y')}), 4) as score from cut group by 1, 2""",
     "known_players": """select * from (values ('S. Vezenkov', 'Sasha Vezenkov'), ('Kevin  DURANT', 'Kevin Durant'), ('Nik Calates', 'Nick Calathes'), ('Unknown Person', 'Unknown Person'), ('Leesville Bob', 'Saben Lee'), ('Walter Tavarez', 'Walter Tavares')) t(raw, player)""",
 }
