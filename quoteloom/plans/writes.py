@@ -65,17 +65,18 @@ def rank_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("badge", F.row_number().over(order)).where("badge <= 25").select("c_mktsegment", "c_custkey", F.concat(F.lit("#"), F.col("badge").cast("string")).alias("badge"))
 
 
+#: Columns of each order, those marked ``-`` from the largest on.
 REVIEW_SORTS = {
-    "confidence": [F.desc("confidence_rank"), F.desc_nulls_last("score"), F.asc_nulls_last("start_time"), "id"],
-    "score": [F.desc_nulls_last("score"), F.desc("confidence_rank"), F.asc_nulls_last("start_time"), "id"],
-    "start": [F.asc_nulls_last("start_time"), F.desc("confidence_rank"), F.desc_nulls_last("score"), "id"],
-    "newest": [F.desc_nulls_last("scraped_at"), F.desc("confidence_rank"), F.desc_nulls_last("score"), "id"],
-}
+    "confidence": ("-confidence_rank", "-score", "start_time", "id"),
+    "score": ("-score", "-confidence_rank", "start_time", "id"),
+    "start": ("start_time", "-confidence_rank", "-score", "id"),
+    "newest": ("-scraped_at", "-confidence_rank", "-score", "id"),
+}
 
 
 def sort_reviews(cases: DataFrame, mode: str) -> DataFrame:
     """H-10: review cases in one of four orders, unknown values always last."""
-    return cases.orderBy(*REVIEW_SORTS[mode])
+    return cases.orderBy(*(F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in REVIEW_SORTS[mode]))
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
