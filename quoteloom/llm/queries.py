@@ -16,4 +16,9 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_top_k": mtree.op10_top_k,
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE_SQL, "op10_top_k": mtree.ORACLE_SQL}
+ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_top_k": mtree.ORACLE_SQL,
+}

@@ -327,3 +327,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = _removed(docs, "doc_id", "text", WINDOW, GRAM, HOT, keep_text=False)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+lost as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) as first_id from win) where doc_id > first_id),
+words as (select doc_id, unnest(range(1, len(w) + 1)) as j, unnest(w) as x from d),
+covered as (
+  select words.doc_id, j, x, max(i) over (partition by words.doc_id order by j rows between 49 preceding and current row) as start
+  from words left join lost on lost.doc_id = words.doc_id and i = j),
+kept as (select doc_id, count(*) as n_words, count(start) as n_removed, string_agg(x, ' ' order by j) filter (where start is null) as t from covered group by 1)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
