@@ -66,6 +66,10 @@ def source_flatten_mozzart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers.mozzart(docs)
 
 
+#: The moment at which the meridian events are read; a fifth of the smallest table starts before it.
+NOW_MS = 400_000
+
+
 def _header(active: Column) -> Column:
     return F.struct(_k().alias("eventId"), F.when(active, "ACTIVE").otherwise("OVER").alias("state"), (_k() * 1000).alias("startTime"), F.array("p_brand", "p_type").alias("rivals"), F.struct(F.lit(7).alias("leagueId"), F.lit("euroleague").alias("slug")).alias("league"))
 
@@ -78,14 +82,14 @@ def source_flatten_meridian(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.struct(F.lit("Ukupno (uklj. OT) ").alias("name"), (_k() % 100 + 100.5).alias("overUnder"), F.array(_sel("Više", F.lit(1.8)), _sel("Manje", 1.5 + _k() % 3)).alias("selections"))
     event = F.struct(_header(_k() % 10 != 0).alias("header"), F.array(F.struct(F.array(group).alias("groups"))).alias("positions"))
     docs = _parts(spark, sf_dir).groupBy(F.floor(_k() / 50)).agg(F.to_json(F.struct(F.array(F.struct(F.collect_list(event).alias("events"))).alias("payload"))).alias("payload"))
-    return offers.meridian_totals(docs)
+    return offers.meridian_totals(docs, NOW_MS)
 
 
 def source_flatten_meridian_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     market = lambda name, state, *s: F.struct(name.alias("name"), F.lit(state).alias("state"), (_k() % 20 + 0.5).alias("overUnder"), F.array(*s).alias("selections"))
     markets = F.array(market(_s("Prezime", _k(), ", Ime"), "ACTIVE", _sel("više", F.lit(1.8)), _sel("manje", F.lit(2.0))), market(F.lit("Ukupno"), "ACTIVE", _sel("više", F.lit(1.0))), market(F.lit("A, B"), "OVER", _sel("više", F.lit(1.0))))
     doc = F.struct(_header(_k() % 10 != 0).alias("header"), F.lit("player_points").alias("market_type"), F.array(F.struct(markets.alias("markets"))).alias("payload"))
-    return offers.meridian_props(_parts(spark, sf_dir).select(F.to_json(doc).alias("payload")))
+    return offers.meridian_props(_parts(spark, sf_dir).select(F.to_json(doc).alias("payload")), NOW_MS)
 
 
 def _outcome(name: str, odd: Column, playable: bool = True) -> Column:
@@ -180,7 +184,10 @@ ORACLES = {
     "source_flatten_mozzart": _sql(
         "mozzart", ("'nba'", "p_brand", "p_type", "player_points", "'P.' || k", "k % 20 + 0.5", "2.0", "1.9", _START, "true"), ("'nba'", "p_brand", "p_type", "game_total", "null", "80.5", "1.7", "2.2", _START, "true")
     ),
-    "source_flatten_meridian_props": _sql("meridian", ("'euroleague'", "p_brand", "p_type", "player_points", "'Ime Prezime' || k", "k % 20 + 0.5", "1.8", "2.0", _START, "k % 10 <> 0")),
+    "source_flatten_meridian_props": _sql("meridian", ("'euroleague'", "p_brand", "p_type", "player_points", "'Ime Prezime' || k", "k % 20 + 0.5", "1.8", "2.0", _START, f"k % 10 <> 0 and (k = 0 or k * 1000 >= {NOW_MS})")),
+    "source_flatten_pinnbet_totals": _sql(
+        "pinnbet", ("'basketball'", "p_brand", "p_type", "game_total_ot", "null", "k % 100 + 99.5", "1.8", "1.9", _DAY, "true"), ("'basketball'", "p_brand", "p_type", "game_total_ot", "null", "1.5", "1.1", "null", _DAY, "true")
+    ),
     "source_flatten_pinnbet": _sql(
         "pinnbet",
         ("'euroleague'", _T, "case when k % 3 = 0 then 'Ri-val' else 'Igrač ' || k end", "player_points", _P, "k % 30 + 0.5", "1.8", "null", _DAY, "k % 2 = 0"),

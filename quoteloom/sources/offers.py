@@ -216,6 +216,35 @@ def oktagon_bulk(docs: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     return _raw(ready, "oktagonbet", league_id=_oktagon_league(), home_team=F.when(is_player, F.coalesce("m.away", F.lit(""))).otherwise(F.trim("m.home")), away_team=F.when(is_player, F.coalesce("m.home", F.lit(""))).otherwise(F.trim("m.away")), player_name=F.when(is_player, F.coalesce("m.home", F.lit(""))), market_type="market", threshold="threshold", over_odds="over", under_odds="under", start_time=epoch_start(F.col("m.kickOffTime")))
 
 
+def _once(matches: DataFrame) -> DataFrame:
+    """One match an id; which, if lists repeat one, is that with the least text of its fields."""
+    return matches.where("m.id is not null").groupBy(F.col("m.id").alias("id")).agg(F.min_by("m", F.to_json("m")).alias("m")).select("m")
+
+
+def oktagon(docs: DataFrame) -> DataFrame:
+    """A-06: lists of matches, and bulk answers with pick groups, which take missing fields from the lists (J-13); one row a key (B-08).
+
+    A document is a bulk answer if its matches have ``odBetPickGroups``.
+    """
+    bulk = F.get_json_object("payload", "$[0].odBetPickGroups").isNotNull()
+    lists = docs.where(~bulk)
+    rows = oktagon_list(lists).unionByName(oktagon_bulk(docs.where(bulk), _once(es_matches(lists))))
+    return dedupe_merge(rows.withColumn("seq", F.monotonically_increasing_id()))
+
+
+def match_ids(matches: DataFrame, codes: tuple[str, ...]) -> DataFrame:
+    """B-15, B-18: ``id, place``: matches with a non-empty parameter among ``codes``, once each, in the order they are first seen in."""
+    told = F.exists(F.array(*map(F.lit, codes)), lambda c: F.coalesce(F.try_element_at("m.params", c), F.lit("")) != "")
+    seen = matches.withColumn("place", F.monotonically_increasing_id()).where(told & F.col("m.id").isNotNull())
+    return seen.groupBy(F.col("m.id").alias("id")).agg(F.min("place").alias("place"))
+
+
+def or_else(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """A-09: ``rows``, or ``others`` where there are none."""
+    nothing = rows.limit(1).agg((F.count("*") == 0).alias("_none"))  # one row
+    return rows.unionByName(others.crossJoin(F.broadcast(nothing)).where("_none").drop("_none").select(*rows.columns))
+
+
 MOZZART = "items array<struct<home:struct<name:string>,visitor:struct<name:string>,competition:struct<name:string>,startTime:bigint,oddsGroup:array<struct<groupName:string,specialOddValue:string,odds:array<struct<specialOddValue:string,subgame:struct<name:string>,game:struct<name:string>,value:double,oddStatus:string>>>>>>"
 
 
@@ -253,14 +282,15 @@ def _meridian_sides(selections: Column) -> Column:
     return sided(selections, over, lambda s: ~over(s) & F.contains(label(s), F.lit("manje")), lambda s: s["price"], lambda s: s["price"].isNotNull())
 
 
-def meridian_context(header: str, now_ms: int) -> Column:
-    """B-09: whether an event counts: it has an id, is active, has two rivals, and starts later or at no stated time."""
+def meridian_context(header: str, now_ms: int | None) -> Column:
+    """B-09: whether an event counts: it has an id, is active, has two rivals, and starts no earlier than ``now_ms`` (by default the current time) or at no stated time."""
+    now = F.unix_millis(F.current_timestamp()) if now_ms is None else F.lit(now_ms)
     h = lambda c: F.col(f"{header}.{c}")
     rivals = (F.size(h("rivals")) >= 2) & (F.coalesce(h("rivals")[0], F.lit("")) != "") & (F.coalesce(h("rivals")[1], F.lit("")) != "")
-    return F.coalesce((h("eventId") != 0) & (h("state") == "ACTIVE") & rivals & ((F.coalesce(h("startTime"), F.lit(0)) == 0) | (h("startTime") >= now_ms)), F.lit(False))
+    return F.coalesce((h("eventId") != 0) & (h("state") == "ACTIVE") & rivals & ((F.coalesce(h("startTime"), F.lit(0)) == 0) | (h("startTime") >= now)), F.lit(False))
 
 
-def meridian_totals(docs: DataFrame, now_ms: int = 0) -> DataFrame:
+def meridian_totals(docs: DataFrame, now_ms: int | None = None) -> DataFrame:
     """B-11, B-12."""
     e = docs.select(F.explode(F.from_json("payload", MERIDIAN)["payload"]).alias("l")).select(F.explode("l.events").alias("e")).where(meridian_context("e.header", now_ms))
     g = e.select("e.header", F.explode("e.positions").alias("p")).select("header", F.explode("p.groups").alias("g"))
@@ -273,7 +303,7 @@ def meridian_totals(docs: DataFrame, now_ms: int = 0) -> DataFrame:
 MERIDIAN_MARKETS = f"header {MERIDIAN_HEADER}, market_type string, payload array<struct<markets:array<struct<name:string,state:string,overUnder:double,selections:{_SELECTIONS}>>>>"
 
 
-def meridian_props(docs: DataFrame, now_ms: int = 0) -> DataFrame:
+def meridian_props(docs: DataFrame, now_ms: int | None = None) -> DataFrame:
     """B-10: player markets of an event; 'Last, First' is turned round."""
     d = docs.select(F.from_json("payload", MERIDIAN_MARKETS).alias("d")).select("d.*").where(meridian_context("header", now_ms))
     m = d.select("header", "market_type", F.explode("payload").alias("g")).select("header", "market_type", F.explode("g.markets").alias("m")).where("m.state = 'ACTIVE' and m.overUnder is not null and m.name like '%,%'")
@@ -282,6 +312,20 @@ def meridian_props(docs: DataFrame, now_ms: int = 0) -> DataFrame:
     return _raw(rows, "meridian", league_id=F.coalesce("header.league.slug", F.lit("basketball")), home_team=F.col("header.rivals")[0], away_team=F.col("header.rivals")[1], player_name=F.concat(F.trim(parts[1]), F.lit(" "), F.trim(parts[0])), market_type="market_type", threshold="m.overUnder", over_odds="s.over", under_odds="s.under", start_time=epoch_start(F.col("header.startTime")))
 
 
+def meridian(docs: DataFrame, now_ms: int | None = None) -> DataFrame:
+    """A-07: pages of events (``{payload: [{events}]}``) and player markets (``{header, market_type, payload}``) together.
+
+    Other player markets count only for events that have points.
+    """
+    markets = docs.where(F.get_json_object("payload", "$.market_type").isNotNull())
+    event, kind = F.get_json_object("payload", "$.header.eventId"), F.get_json_object("payload", "$.market_type")
+    filled = F.get_json_object("payload", "$.payload[0]").isNotNull()
+    with_points = markets.where((kind == "player_points") & filled).select(event.alias("_event")).distinct()
+    wanted = markets.withColumn("_id", event).join(with_points, F.col("_id") == F.col("_event"), "left_semi").select("payload")
+    pages = docs.where(F.get_json_object("payload", "$.market_type").isNull())
+    return meridian_totals(pages, now_ms).unionByName(meridian_props(wanted, now_ms))
+
+
 _BETS = "array<struct<betTypeId:string,betTypeName:string,sBV:string,isPlayable:boolean,betOutcomes:array<struct<name:string,odd:double,isPlayable:boolean>>>>"
 BET_EVENT = f"struct<id:string,name:string,shortName:string,competitionId:bigint,competitionName:string,mappingTypeId:int,dateTime:string,bets:{_BETS}>"
 
@@ -407,8 +451,30 @@ class Registry:
         return reduce(DataFrame.unionByName, frames)
 
 
+def pinnbet(docs: DataFrame) -> DataFrame:
+    """Lists of events, and ``{id, bets}`` documents of the player events among them."""
+    detail = F.get_json_object("payload", "$.bets").isNotNull()
+    lists = docs.where(~detail)
+    return pinnbet_totals(lists).unionByName(pinnbet_props(lists, docs.where(detail)))
+
+
+#: Every source's reader of all its documents.
+READERS = {
+    "mozzart": mozzart, "oktagonbet": oktagon, "meridian": meridian, "maxbet": maxbet, "merkurxtip": merkurxtip, "pinnbet": pinnbet, "balkanbet": balkanbet, "admiralbet": admiralbet,
+}
+
+
 def default_registry() -> Registry:
     out = Registry()
-    for name, read in (("mozzart", mozzart), ("oktagonbet", oktagon_list), ("meridian", meridian_totals), ("maxbet", maxbet), ("merkurxtip", merkurxtip), ("pinnbet", pinnbet_totals), ("balkanbet", balkanbet), ("admiralbet", admiralbet)):
+    for name, read in READERS.items():
         out.register(name, read)
     return out
+
+
+def chosen_registry(modes: dict[str, str], mock_read: Callable[..., DataFrame]) -> Registry:
+    """A-14: sources by configured mode: ``real`` takes the source's reader, or the mock one where there is none; ``mock`` the mock one; others are left out."""
+    out = Registry()
+    for name, mode in modes.items():
+        if mode in ("real", "mock"):
+            out.register(name, READERS.get(name, mock_read) if mode == "real" else mock_read)
+    return out
