@@ -1,10 +1,13 @@
 """The corpus pipeline, stage by stage, on a small corpus."""
 
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
 pytest.importorskip("public_tokenizers")
+sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline as pipeline  # noqa: E402
 
 
@@ -57,5 +60,29 @@ def test_stages_on_an_empty_table(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    """Every document that brute force keeps is packed whole, with its secrets replaced, and no other is."""
+    import public_tokenizers
+    from test_operators import ASSIGN, lower, near
+    from tokenizers import Tokenizer
+
     rows = pipeline.run(spark, sf_dir).collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"} <= set(rows[0].asDict())
+    good = {r.doc_id: r.text for r in pipeline.quality_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).collect()}
+    last = {}
+    for i in sorted(good):
+        last[lower(good[i])] = i
+    exact = sorted(last.values())
+    first = {}
+    for k, (_, component) in near([good[i] or "" for i in exact], 80).items():
+        first.setdefault(component, exact[k])
+    kept = sorted(first.values())
+    assert 20 not in kept and 32 not in kept and 30 in kept and 22 in kept
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id] += r.ids
+    secret = [i for i in kept if "Ab3dEf6hIj9lMn2p" in (good[i] or "")]
+    want = {i: ASSIGN.sub("[SECRET]", good[i] or "") for i in kept}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in want.items()}
+    assert len(secret) > 5 and all("Ab3d" not in tok.decode(got[i]) for i in kept)
