@@ -209,13 +209,15 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     placed = cut(placed)
     many = max(1, -(-placed.count() // ROWS_A_BLOCK), shuffle_partitions(df.sparkSession))
     # blocks of neighbouring rows of about equal numbers, by sampled quantiles; the tie splits rows that share an id
-    order = [F.col("id").asc_nulls_first(), F.col("tie")]
-    placed = cut(placed.repartitionByRange(many, "shard", *order).withColumn("block", F.spark_partition_id()))
-    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    before = counts.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
-    numbered = placed.withColumn("rank", F.row_number().over(W.partitionBy("shard", "block").orderBy(*order)))
-    out = numbered.join(before, ["shard", "block"])
-    return out.select("id", "size", "crc", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"))
+    order = ["shard", F.col("id").asc_nulls_first(), "tie"]
+    placed = placed.repartitionByRange(many, *order).sortWithinPartitions(*order).withColumn("turn", F.monotonically_increasing_id())
+    # a row's turn is its block's number times 2**33 plus its place in the block
+    placed = cut(placed.select("id", "size", "crc", "shard", F.shiftright("turn", 33).alias("block"), F.col("turn").bitwiseAND(F.lit(2**33 - 1)).alias("place")))
+    runs = placed.groupBy("shard", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n") - F.col("first")
+    shifts = cut(runs.select("shard", "block", before.alias("shift")))  # at most one row a block, and one more a shard
+    out = placed.join(F.broadcast(shifts), ["shard", "block"])
+    return out.select("id", "size", "crc", "shard", (F.col("place") + F.col("shift")).cast("long").alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
