@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import team_score
 from ..functions.text import canonical_league_id, humanize_league, identity_text, scope_key
 
+BROADCAST_ROWS = 20_000
+
 
 def resolve_labels(labels: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame:
     """J-10 and W-01: ``sport, bookmaker_id, label, team_id, team_name, source`` of the labels that some alias knows.
@@ -36,7 +38,7 @@ def resolve_labels(labels: DataFrame, teams: DataFrame, aliases: DataFrame) -> D
 def with_teams(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> DataFrame:
     """``raw`` with ``home_id, home_name, away_id, away_name``; unknown labels keep their trimmed text and a null id."""
     labels = raw.select("sport", "bookmaker_id", F.explode(F.array("home_team", "away_team")).alias("label"))
-    known = resolve_labels(labels, teams, aliases)
+    known = bounded(resolve_labels(labels, teams, aliases))
     for side in ("home", "away"):
         mine = known.select(F.col("sport").alias("_s"), F.col("bookmaker_id").alias("_b"), F.col("label").alias("_l"), F.col("team_id").alias(f"{side}_id"), F.col("team_name").alias("_n"))
         on = (F.col("sport") == F.col("_s")) & F.col("bookmaker_id").eqNullSafe(F.col("_b")) & (F.col(f"{side}_team") == F.col("_l"))
@@ -145,6 +147,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A table that is small as a rule, cut and counted: broadcast up to ``BROADCAST_ROWS`` rows, else joined as Catalyst finds best."""
+    cut = checkpointed(df)
+    return F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
+
+
 def merge_teams(teams: DataFrame, aliases: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """U-15: teams and aliases after merging ``source_id`` into ``target_id`` (``mapping``).
 

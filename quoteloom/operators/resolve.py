@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.odds import match_id
 from ..functions.text import identity_text, market_type, matchup
 from .players import known_names, resolve_players
-from .registry import search_candidates, with_teams
+from .registry import bounded, checkpointed, search_candidates, with_teams
 
 RAW = ("seq", "bookmaker_id", "league_id", "sport", "home_team", "away_team", "market_type", "player_name", "threshold", "over_odds", "under_odds", "start_time")
 REVIEW_LEAST = 76.0
@@ -41,9 +41,9 @@ def _event() -> list[Column]:
     return [F.col("sport"), F.col("start_time"), F.least("home_id", "away_id").alias("low_id"), F.greatest("home_id", "away_id").alias("high_id")]
 
 
-def canonical_matchups(resolved: DataFrame) -> DataFrame:
-    """F-08: the voted orientation of each event: most frequent, then smallest ids.  ``resolved`` comes from ``with_teams``."""
-    votes = resolved.where(~shared_platform() & F.col("start_time").isNotNull() & both_known()).groupBy(*_event(), "home_id", "away_id").agg(F.count("*").alias("n"), F.min("seq").alias("seen"), F.max("home_name").alias("home_name"), F.max("away_name").alias("away_name"))
+def canonical_matchups(resolved: DataFrame, count: Column | None = None) -> DataFrame:
+    """F-08: the voted orientation of each event: most frequent, then smallest ids.  ``resolved`` comes from ``with_teams``; ``count`` sums its quotes if a row stands for several."""
+    votes = resolved.where(~shared_platform() & F.col("start_time").isNotNull() & both_known()).groupBy(*_event(), "home_id", "away_id").agg((F.count("*") if count is None else count).alias("n"), F.min("seq").alias("seen"), F.max("home_name").alias("home_name"), F.max("away_name").alias("away_name"))
     best = votes.groupBy("sport", "start_time", "low_id", "high_id").agg(F.min_by(F.struct("home_id", "away_id", "home_name", "away_name"), F.struct(-F.col("n"), "home_id", "away_id")).alias("m"), F.min("seen").alias("seen"))
     return best.select("sport", "start_time", "low_id", "high_id", "m.*", "seen")
 
@@ -62,18 +62,23 @@ def inferred_matchups(resolved: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def resolve_matchups(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pass 3: quotes with the voted orientation (J-17) and props with their matchup (J-16); diagnostics of props without exactly one."""
+    """Pass 3: quotes with the voted orientation (J-17) and props with their matchup (J-16); diagnostics of props without exactly one.
+
+    The matchups are found among counted kinds of quotes, which are far fewer.
+    """
     resolved = with_teams(raw, teams, aliases)
-    known = canonical_matchups(resolved)
-    every = known.unionByName(inferred_matchups(resolved, known))
+    kinds = raw.groupBy("sport", "bookmaker_id", "start_time", "home_team", "away_team", "player_name").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    named = checkpointed(with_teams(kinds, teams, aliases))
+    known = bounded(canonical_matchups(named, F.sum("n")))
+    every = checkpointed(known.unionByName(inferred_matchups(named, known)))
     plain = resolved.where(~shared_platform())
     m = known.select(F.col("sport").alias("m_sport"), F.col("start_time").alias("m_start"), F.col("low_id").alias("m_low"), F.col("high_id").alias("m_high"), F.col("home_name").alias("m_home"), F.col("away_name").alias("m_away"))
     on = (F.col("sport") == F.col("m_sport")) & (F.col("start_time") == F.col("m_start")) & (F.least("home_id", "away_id") == F.col("m_low")) & (F.greatest("home_id", "away_id") == F.col("m_high")) & both_known()
     turned = plain.join(m, on, "left").withColumn("home_team", F.coalesce("m_home", "home_team")).withColumn("away_team", F.coalesce("m_away", "away_team")).select(*RAW)
     props = resolved.where(shared_platform())
     sides = every.select("sport", "start_time", F.explode(F.array("home_id", "away_id")).alias("team"), F.struct("seen", "home_name", "away_name").alias("entry"))
-    listed = sides.groupBy("sport", "start_time", "team").agg(F.array_sort(F.collect_list("entry")).alias("mine"))
-    slot = every.groupBy("sport", "start_time").agg(F.array_sort(F.collect_list(F.struct("seen", "home_name", "away_name"))).alias("slot"))
+    listed = bounded(sides.groupBy("sport", "start_time", "team").agg(F.array_sort(F.collect_list("entry")).alias("mine")))
+    slot = bounded(every.groupBy("sport", "start_time").agg(F.array_sort(F.collect_list(F.struct("seen", "home_name", "away_name"))).alias("slot")))
     joined = props.join(listed.withColumnRenamed("team", "home_id"), ["sport", "start_time", "home_id"], "left").join(slot, ["sport", "start_time"], "left")
     count = F.coalesce(F.size("mine"), F.lit(0))
     found = joined.where(F.size("mine") == 1).withColumn("home_team", F.col("mine")[0]["home_name"]).withColumn("away_team", F.col("mine")[0]["away_name"]).select(*RAW)
@@ -111,11 +116,12 @@ def autocreate_names(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> Da
     A side is left to review if its counterpart is known and also appears in a
     fully known matchup of the same slot.
     """
-    base = raw.where(~shared_platform() & F.col("start_time").isNotNull()).withColumn("home_key", identity_text(F.col("home_team"))).withColumn("away_key", identity_text(F.col("away_team"))).where("home_key <> '' and away_key <> '' and home_key <> away_key")
+    quotes = raw.where(~shared_platform() & F.col("start_time").isNotNull()).groupBy("sport", "bookmaker_id", "start_time", "home_team", "away_team").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    base = checkpointed(quotes.withColumn("home_key", identity_text(F.col("home_team"))).withColumn("away_key", identity_text(F.col("away_team"))).where("home_key <> '' and away_key <> '' and home_key <> away_key"))
     resolved = with_teams(base, teams, aliases)
     pair = [F.col("sport"), F.col("start_time"), F.least("home_key", "away_key").alias("key1"), F.greatest("home_key", "away_key").alias("key2")]
-    seen = resolved.groupBy(*pair).agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where("n >= 2")
-    names = base.select("sport", F.explode(F.array(F.struct(F.col("home_key").alias("key"), F.trim("home_team").alias("name")), F.struct(F.col("away_key").alias("key"), F.trim("away_team").alias("name")))).alias("t")).groupBy("sport", "t.key", "t.name").count()
+    seen = resolved.groupBy(*pair).agg(F.sum("n").alias("n"), F.min("seq").alias("seq")).where("n >= 2")
+    names = base.select("sport", "n", F.explode(F.array(F.struct(F.col("home_key").alias("key"), F.trim("home_team").alias("name")), F.struct(F.col("away_key").alias("key"), F.trim("away_team").alias("name")))).alias("t")).groupBy("sport", "t.key", "t.name").agg(F.sum("n").alias("count"))
     shown = names.groupBy("sport", "key").agg(F.max_by("name", F.struct("count", F.length("name"), "name")).alias("display_name"))
     full = resolved.where("home_id is not null and away_id is not null").select("sport", "start_time", F.explode(F.array("home_id", "away_id")).alias("known")).distinct()
     half = resolved.where("(home_id is null) <> (away_id is null)").select(*pair, F.coalesce("home_id", "away_id").alias("known"), F.when(F.col("home_id").isNull(), F.col("home_key")).otherwise(F.col("away_key")).alias("key"))
@@ -133,7 +139,7 @@ def normalized_odds(resolved: DataFrame, votes: DataFrame) -> DataFrame:
     """Pass 6 (J-18, C-05, C-12, C-13): final quotes with match id, voted orientation, canonical market and players' known names; quotes with unknown teams drop out."""
     sides = [F.least("home_id", "away_id").alias("low_id"), F.greatest("home_id", "away_id").alias("high_id")]
     base = known_names(resolved.where(F.col("start_time").isNotNull() & both_known()).select("*", *sides))
-    v = votes.select("sport", "start_time", "low_id", "high_id", F.col("home_id").alias("h"), F.col("away_id").alias("a"), F.col("league_id").alias("voted"))
+    v = bounded(votes.select("sport", "start_time", "low_id", "high_id", F.col("home_id").alias("h"), F.col("away_id").alias("a"), F.col("league_id").alias("voted")))
     out = base.join(v, ["sport", "start_time", "low_id", "high_id"])
     straight = F.col("h") == F.col("home_id")
     return out.select(
@@ -161,15 +167,18 @@ def review_cases(resolved: DataFrame, votes: DataFrame, teams: DataFrame, aliase
     side = lambda me, other: F.struct(F.col(f"{me}_team").alias("label"), F.col(f"{me}_id").alias("id"), F.col(f"{other}_id").alias("other_id"), F.col(f"{other}_name").alias("other_name"), F.lit(0 if me == "home" else 1).alias("turn"))
     sides = resolved.where("start_time is not null").select("seq", "bookmaker_id", "sport", "start_time", "league_id", F.explode(F.array(side("home", "away"), side("away", "home"))).alias("t"))
     open_ = sides.where("t.id is null").select("seq", "bookmaker_id", "sport", "start_time", "league_id", "t.label", "t.other_id", F.when(F.col("t.other_id").isNotNull(), F.col("t.other_name")).alias("counterpart"), "t.turn")
-    first = open_.withColumn("norm", identity_text(F.col("label"))).groupBy("bookmaker_id", "sport", "norm", "start_time", F.coalesce("counterpart", F.lit("")).alias("cp")).agg(F.min_by(F.struct("label", "other_id", "counterpart", "league_id", "seq"), F.struct("seq", "turn")).alias("f"))
-    cases = first.select("bookmaker_id", "sport", "start_time", "norm", "cp", "f.*")
+    kinds = open_.groupBy("bookmaker_id", "sport", "start_time", "label", "counterpart").agg(F.min_by(F.struct("seq", "turn", "league_id", "other_id"), F.struct("seq", "turn")).alias("k"))
+    first = kinds.select("bookmaker_id", "sport", "start_time", "label", "counterpart", "k.*", identity_text(F.col("label")).alias("norm")).groupBy("bookmaker_id", "sport", "norm", "start_time", F.coalesce("counterpart", F.lit("")).alias("cp")).agg(F.min_by(F.struct("label", "other_id", "counterpart", "league_id", "seq"), F.struct("seq", "turn")).alias("f"))
+    cases = checkpointed(first.select("bookmaker_id", "sport", "start_time", "norm", "cp", "f.*"))
     names = teams.select(F.col("team_id").alias("n_id"), F.col("display_name").alias("cand_name"))
     options = votes.select("sport", "start_time", F.explode(F.array(F.struct(F.col("home_id").alias("other_id"), F.col("away_id").alias("cand_id")), F.struct(F.col("away_id").alias("other_id"), F.col("home_id").alias("cand_id")))).alias("o")).select("sport", "start_time", "o.*").distinct()
     options = options.join(names, F.col("cand_id") == F.col("n_id")).drop("n_id")
     from ..functions.fuzzy import team_score
 
     pairs = cases.join(options, ["sport", "start_time", "other_id"]).withColumn("cand_key", identity_text(F.col("cand_name"))).where("cand_key <> norm and cand_key <> ''")
-    scored = pairs.withColumn("score", F.round(team_score(F.col("norm"), F.col("cand_key")), 6))
+    pairs = checkpointed(pairs)
+    scores = checkpointed(pairs.select("norm", "cand_key").distinct().repartition("norm", "cand_key").withColumn("score", F.round(team_score(F.col("norm"), F.col("cand_key")), 6)))
+    scored = pairs.join(scores, ["norm", "cand_key"])  # each two names are compared once
     order = W.partitionBy("bookmaker_id", "sport", "norm", "start_time", "cp").orderBy(F.desc("score"), "cand_name")
     local = scored.withColumn("place", F.row_number().over(order)).groupBy("bookmaker_id", "sport", "norm", "start_time", "cp").agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("cand_id").alias("team_id"), F.col("cand_name").alias("team_name"), "score"), "place").alias("local"))
     wide = search_candidates(cases, teams, aliases).select("sport", "label", F.element_at("candidates", 1).alias("wide"))

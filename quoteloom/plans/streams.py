@@ -23,17 +23,17 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage raw quotes in two files, run the cycle over them file by file, and read the last snapshot back."""
+    """Stage raw quotes in two halves, run the stream after each over what is new, a cycle a half, and read the last snapshot back."""
     folder = _shared_folder(spark)
     raw = domain.raw_offers(spark, sf_dir)
-    for part in range(2):
-        raw.where(F.pmod("seq", F.lit(2)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     store, teams, aliases = SnapshotStore(spark, f"{folder}/store"), domain.teams(spark, sf_dir), domain.aliases(spark, sf_dir)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = cycle.start(spark, stream, f"{folder}/state", lambda df, number: cycle.run_cycle(store, df, teams, aliases, f"2026-01-01T00:{number:02d}:00", 10.0))
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    for part in range(2):
+        raw.where(F.pmod("seq", F.lit(2)) == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{folder}/in")
+        query = cycle.start(spark, stream, f"{folder}/state", lambda df, number: cycle.run_cycle(store, df, teams, aliases, f"2026-01-01T00:{number:02d}:00", 10.0))
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
     current = store.current("odds")
     return current.groupBy("scraped_at", "market_type").agg(F.count("*").alias("n"), F.count_distinct("match_id").alias("matches"))
 

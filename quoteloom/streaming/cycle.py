@@ -52,11 +52,13 @@ def normalize(raw: DataFrame, teams: DataFrame, aliases: DataFrame) -> Normalize
     every = checkpointed(teams.unionByName(new))
     spelled = checkpointed(decisions.with_canonical(every, aliases))
     placed, lost = resolve.resolve_matchups(timed, every, spelled)
-    resolved = registry.with_teams(placed, every, spelled).withColumn("voted_league", canonical_league_id(F.col("league_id")))
+    lost = checkpointed(lost.select(*LOST))
+    leagues = registry.bounded(timed.select(F.col("league_id").alias("_l")).distinct().withColumn("voted_league", canonical_league_id(F.col("_l"))))
+    resolved = registry.with_teams(placed, every, spelled).join(leagues, F.col("league_id").eqNullSafe(F.col("_l")), "left").drop("_l")
     resolved = checkpointed(resolve.contextual_players(checkpointed(resolved)))
     votes = checkpointed(resolve.event_votes(resolved))
     quotes = checkpointed(resolve.normalized_odds(resolved, votes))
-    unresolved = lost.select(*LOST).unionByName(missing.select(*LOST))
+    unresolved = lost.unionByName(missing.select(*LOST))
     cases = checkpointed(resolve.review_cases(resolved.where(~resolve.shared_platform()), votes, every, spelled))
     return Normalized(quotes, unresolved, cases, every, spelled)
 
@@ -101,7 +103,7 @@ def run_cycle(
         history = history.where(F.col("scraped_at") < stamp)
     found = normalize(raw, teams, aliases)
     reviews, spelled = auto_approve(found, history)
-    gaps = checkpointed(analyze.find_discrepancies(found.quotes, min_gap))
+    gaps = checkpointed(analyze.counted_discrepancies(found.quotes, min_gap))
     ran = raw.sparkSession.createDataFrame([], "bookmaker_id string, duration_ms long, raw_items long, failed boolean") if tasks is None else tasks
     matches = store.first_of_match(found.quotes)
     keep.publish(

@@ -87,3 +87,18 @@ def test_stake_queries_plan_every_discrepancy(spark):
             if name == "stake_balanced":
                 assert abs(r.stake_a - 20 * r.odds_b / (r.odds_a + r.odds_b)) < 2e-3 and abs(r.stake_a + r.stake_b - 20) < 2e-3
             assert abs(r.profit_a - (r.stake_a * r.odds_a - 20)) < 0.11 and abs(r.profit_b - (r.stake_b * r.odds_b - 20)) < 0.11 and r.worst_case == min(r.profit_a, r.profit_b)
+
+
+def test_counted_discrepancies_are_the_pairs_with_their_number(spark):
+    import random
+    from collections import Counter
+
+    draw, kinds = random.Random(7), "match_id string, market_type string, player_name string, bookmaker_id string, threshold double, over_odds double, under_odds double, seq long"
+    price = lambda: draw.choice([1.9, 2.1, 2.3, 2.3, 0.0, None])
+    rows = [(draw.choice("mn"), draw.choice(["player_points", "player_points_milestones", "game_total"]), draw.choice(["p", None]), draw.choice("abc"), draw.choice([1.5, 2.5, 12.5]), price(), price(), i) for i in range(400)]
+    quotes = spark.createDataFrame(rows, kinds)
+    for least in (0.0, 10.0):
+        pairs = Counter(tuple(r) for r in analyze.find_discrepancies(quotes, least).collect())
+        counted = [(tuple(r)[:-1], r.n_pairs) for r in analyze.counted_discrepancies(quotes, least).collect()]
+        assert dict(counted) == pairs and len(counted) == len(pairs)
+        assert any(r[9] == 0.0 for r in pairs) and max(pairs.values()) > 5

@@ -110,3 +110,14 @@ def test_merge_rewrites_pending_reviews_and_is_logged(spark):
     assert [tuple(r) for r in decisions.merge_log(mapping, "now").collect()] == [(1, 2, "now")]
     bad = spark.createDataFrame([(1, 1), (1, 9), (1, 2)], "source_id long, target_id long")
     assert {(r.source_id, r.target_id): r.reason for r in decisions.merge_problems(teams, bad).collect()} == {(1, 1): "same_team", (1, 9): "unknown_team"}
+
+
+def test_copies_of_quotes_are_compared_once_and_counted(spark, tmp_path):
+    teams, aliases = world(spark, "Alfa", "Beta")
+    keep = SnapshotStore(spark, f"file://{tmp_path}/s")
+    one = raw(spark, ("a", "Alfa", "Beta", None, "t"), ("b", "Beta", "Alfa", None, "t"))
+    rows = one.crossJoin(spark.range(1500)).withColumn("seq", F.col("seq") + 2 * F.col("id")).drop("id").withColumn("threshold", F.when(F.col("bookmaker_id") == "b", 9.5).otherwise(1.5))
+    cycle.run_cycle(keep, rows, teams, aliases, "2026-01-01T00:00:00")
+    assert keep.current("odds").count() == 3000
+    assert [(r.bookmaker_a_id, r.bookmaker_b_id, r.gap, r.n_pairs) for r in keep.current("discrepancies").collect()] == [("a", "b", 8.0, 1500 * 1500)]
+    assert [r.n_pairs for r in keep.current("notifications").collect()] == [1500 * 1500]
